@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from millaudit import fixed_values as V
-from millaudit.functions.text import all_matches, col, contains_any, first_match, squash, strip
+from millaudit.functions.text import all_matches, col, contains_any, first_match, let, squash, strip
 
 _TABLE = r"(?is)<table\b[^>]*>.*?(?:</table>|\z)"
 _ROW = r"(?is)<tr\b[^>]*>(.*?)(?=<tr\b|</tr>|</table>|\z)"
@@ -53,39 +53,40 @@ def header_row(table: Column) -> Column:
     marked = F.array_position(
         F.transform(table, lambda r: F.exists(r, lambda x: x["tag"] == "th")), F.lit(True)
     ).cast("int")
-    return F.when(marked > 0, marked).otherwise(F.lit(1))
+    return F.greatest(marked, F.lit(1))
 
 
-def header_texts(table: Column) -> Column:
-    """Header texts; empty when the table has none."""
-    row = F.get(table, header_row(table) - 1)
-    marked = F.filter(row, lambda x: x["tag"] == "th")
-    source = F.transform(F.when(F.size(marked) > 0, marked).otherwise(row), lambda x: x["text"])
-    return F.when(F.exists(source, lambda h: h != ""), source).otherwise(
-        F.when(F.size(marked) > 0, source).otherwise(F.array().cast("array<string>"))
-    )
+def header_texts(table: Column, at: Column) -> Column:
+    """Header texts of the header row; empty when the table has none."""
+
+    def texts(row):
+        marked = F.exists(row, lambda x: x["tag"] == "th")
+        source = F.transform(F.filter(row, lambda x: ~marked | (x["tag"] == "th")), lambda x: x["text"])
+        return F.when(marked | F.exists(source, lambda h: h != ""), source).otherwise(F.array().cast("array<string>"))
+
+    return let(F.get(table, at - 1), texts)
 
 
 def data_rows(c) -> Column:
     """array<struct(table_no, row_no, headers, cells)> of a text: td cells below each header, empty rows gone."""
 
-    def rows_of(table, table_no):
-        headers = header_texts(table)
-        below = F.slice(table, header_row(table) + 1, F.greatest(F.size(table), F.lit(1)))
-        return F.filter(
-            F.transform(
-                below,
-                lambda r, i: F.struct(
-                    (table_no + 1).alias("table_no"),
-                    (i + 1).alias("row_no"),
-                    headers.alias("headers"),
-                    F.transform(
-                        F.slice(F.filter(r, lambda x: x["tag"] == "td"), F.lit(1), F.size(headers)),
-                        lambda x: x["text"],
-                    ).alias("cells"),
-                ),
+    def below(table, table_no, at, headers):
+        rows = F.transform(
+            F.slice(table, at + 1, F.greatest(F.size(table), F.lit(1))),
+            lambda r, i: F.struct(
+                (table_no + 1).alias("table_no"),
+                (i + 1).alias("row_no"),
+                headers.alias("headers"),
+                F.transform(
+                    F.slice(F.filter(r, lambda x: x["tag"] == "td"), F.lit(1), F.size(headers)), lambda x: x["text"]
+                ).alias("cells"),
             ),
-            lambda r: F.exists(r["cells"], lambda t: t != ""),
+        )
+        return F.filter(rows, lambda r: F.exists(r["cells"], lambda t: t != ""))
+
+    def rows_of(table, table_no):
+        return let(
+            header_row(table), lambda at: let(header_texts(table, at), lambda headers: below(table, table_no, at, headers))
         )
 
     return F.flatten(F.transform(tables(c), rows_of))

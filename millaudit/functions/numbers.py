@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from millaudit import fixed_values as V
-from millaudit.functions.text import all_matches, col, contains_any, half_width, half_width_signs, number, number_text, strip
+from millaudit.functions.text import all_matches, col, contains_any, half_width, half_width_signs, let, number, number_text, strip
 
 _PLAN_N = r"(?U)\bn\s*=\s*(\d+)"
 _PLAN_C = r"(?U)\bc\s*=\s*(\d+)"
@@ -21,17 +21,16 @@ def _number_in(c, pattern: str) -> Column:
 
 def leading_number(c) -> Column:
     """Number a text starts with, the rest ignored."""
-    return F.regexp_extract(col(c), _JS_NUMBER, 1).try_cast("double")
+    return let(F.regexp_extract(col(c), _JS_NUMBER, 1), lambda v: F.when(v != "", v.try_cast("double")))
 
 
 def measured_value(c) -> Column:
     """Measured value: not detected and '<' count as 0, else the first number."""
-    c = strip(c)
-    return (
-        F.when(c.isNull() | (c == ""), F.lit(None).cast("double"))
-        .when(F.contains(c, F.lit("未检出")) | F.contains(F.upper(c), F.lit("ND")), F.lit(0.0))
-        .when(c.startswith("<"), F.lit(0.0))
-        .otherwise(_number_in(c, r"(?U)([\d.]+)"))
+    return let(
+        strip(c),
+        lambda v: F.when(v.isNull() | (v == ""), F.lit(None).cast("double"))
+        .when(F.contains(v, F.lit("未检出")) | F.contains(F.upper(v), F.lit("ND")) | v.startswith("<"), F.lit(0.0))
+        .otherwise(_number_in(v, r"(?U)([\d.]+)")),
     )
 
 
@@ -44,22 +43,27 @@ def sampling_plan(c) -> Column:
         _number_in(c, _PLAN_LOW).alias("low"),
         _number_in(c, _PLAN_HIGH).alias("high"),
     )
-    complete = plan["n"].isNotNull() & plan["c"].isNotNull() & plan["low"].isNotNull() & plan["high"].isNotNull()
-    return F.when(complete, plan)
+
+    def complete(p):
+        return F.when(p["n"].isNotNull() & p["c"].isNotNull() & p["low"].isNotNull() & p["high"].isNotNull(), p)
+
+    return F.when(F.contains(c, F.lit("=")), let(plan, complete))
 
 
 def sample_values(c) -> Column:
     """Values of several samples, null for a single value or an unreadable part."""
-    parts = F.split(strip(c), "[,，、；;]+")
-    stripped = F.filter(F.transform(parts, strip), lambda p: p != "")
-    values = F.transform(
-        stripped,
-        lambda p: F.when(
-            p.rlike(r"(?U)^[<＜]\s*[\d.]") | F.contains(p, F.lit("未检出")) | p.rlike("(?i)^ND$"), F.lit(0.0)
-        ).otherwise(_number_in(p, r"(?U)([\d.]+)")),
+    c = col(c)
+
+    def value(p):
+        zero = p.rlike(r"(?U)^[<＜]\s*[\d.]") | F.contains(p, F.lit("未检出")) | p.rlike("(?i)^ND$")
+        return F.when(zero, F.lit(0.0)).otherwise(_number_in(p, r"(?U)([\d.]+)"))
+
+    parts = F.filter(F.transform(F.split(strip(c), "[,，、；;]+"), strip), lambda p: p != "")
+    values = let(
+        F.transform(parts, value),
+        lambda v: F.when((F.size(v) >= 2) & F.forall(v, lambda x: x.isNotNull()), v),
     )
-    readable = (F.size(parts) >= 2) & (F.size(values) >= 2) & F.forall(values, lambda v: v.isNotNull())
-    return F.when(readable, values)
+    return F.when(c.rlike("[,，、；;]"), values)
 
 
 def over_low(samples: Column, plan: Column) -> Column:
@@ -88,23 +92,25 @@ def plan_message(samples: Column, plan: Column) -> Column:
 
 def limit_bounds(c) -> Column:
     """Limit text as struct(kind, lo, hi): none, forbidden, range, max, min."""
-    flat = F.translate(strip(c), " 　", "")
-    lo = number(F.regexp_replace(F.regexp_extract(flat, _RANGE, 1), r"(?U)[^\d.]", ""))
-    hi = number(F.regexp_replace(F.regexp_extract(flat, _RANGE, 2), r"(?U)[^\d.]", ""))
-    top = _number_in(flat, r"(?U)(?:≤|<=|<)([\d.]+)")
-    low = _number_in(flat, r"(?U)(?:≥|>=|>)([\d.]+)")
     nothing = F.lit(None).cast("double")
+    top, least = r"(?U)(?:≤|<=|<)([\d.]+)", r"(?U)(?:≥|>=|>)([\d.]+)"
 
     def bounds(kind, a, b):
         return F.struct(F.lit(kind).alias("kind"), a.alias("lo"), b.alias("hi"))
 
-    return (
-        F.when(contains_any(flat, ["不得检出", "不得检测出"]), bounds("forbidden", nothing, nothing))
-        .when(lo.isNotNull() & hi.isNotNull(), bounds("range", lo, hi))
-        .when(top.isNotNull(), bounds("max", nothing, top))
-        .when(low.isNotNull(), bounds("min", low, nothing))
-        .otherwise(bounds("none", nothing, nothing))
-    )
+    def bare(flat, group):
+        return number(F.regexp_replace(F.regexp_extract(flat, _RANGE, group), r"(?U)[^\d.]", ""))
+
+    def read(flat):
+        return (
+            F.when(contains_any(flat, ["不得检出", "不得检测出"]), bounds("forbidden", nothing, nothing))
+            .when(flat.rlike(_RANGE), bounds("range", bare(flat, 1), bare(flat, 2)))
+            .when(flat.rlike(top) & _number_in(flat, top).isNotNull(), bounds("max", nothing, _number_in(flat, top)))
+            .when(flat.rlike(least) & _number_in(flat, least).isNotNull(), bounds("min", _number_in(flat, least), nothing))
+            .otherwise(bounds("none", nothing, nothing))
+        )
+
+    return let(F.translate(strip(c), " 　", ""), read)
 
 
 # --- review variants ----------------------------------------------------------------------------
@@ -112,42 +118,47 @@ def limit_bounds(c) -> Column:
 def review_number(c) -> Column:
     """Measured value in the review: '<' is only dropped, the largest number counts."""
     raw = col(c)
-    flat = F.translate(half_width_signs(raw), "＜<", "")
-    numbers = F.filter(F.transform(all_matches(flat, r"[0-9.]+"), leading_number), lambda v: v.isNotNull())
-    return (
-        F.when(raw.isNull() | (raw == "") | (raw == "–"), F.lit(None).cast("double"))
-        .when(F.contains(flat, F.lit("未检出")), F.lit(0.0))
-        .when(flat.rlike("[:,，]"), F.lit(None).cast("double"))
-        .otherwise(F.array_max(numbers))
-    )
+    nothing = F.lit(None).cast("double")
+
+    def read(flat):
+        numbers = F.transform(all_matches(flat, r"[0-9.]+"), leading_number)
+        return (
+            F.when(F.contains(flat, F.lit("未检出")), F.lit(0.0))
+            .when(flat.rlike("[:,，]"), nothing)
+            .otherwise(F.array_max(numbers))
+        )
+
+    known = raw.isNotNull() & (raw != "") & (raw != "–")
+    return F.when(known, let(F.translate(half_width_signs(raw), "＜<", ""), read))
 
 
 def review_range(c) -> Column:
     """Limit text as struct(lo, hi), null when its meaning is open (ratio, bare number, text)."""
-    flat = F.regexp_replace(half_width_signs(F.coalesce(col(c), F.lit(""))), "[％%]", "")
-    parts = F.split(flat, "~")
-    first, second = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+    nothing = F.lit(None).cast("double")
 
     def side(part):
-        numbers = F.transform(all_matches(part, r"[0-9.]+"), leading_number)
         is_open = part.rlike(r"(?i)N\.?S\.?") | part.rlike("^[a-zA-Z]")
-        return F.when(~is_open & (F.size(numbers) > 0), F.try_element_at(numbers, F.lit(-1)))
-
-    top = leading_number(F.regexp_extract(flat, "^[≤<]([0-9.]+)", 1))
-    low = leading_number(F.regexp_extract(flat, "^[≥>]([0-9.]+)", 1))
-    lo, hi = side(first), side(second)
-    nothing = F.lit(None).cast("double")
+        numbers = F.transform(all_matches(part, r"[0-9.]+"), leading_number)
+        return F.when(~is_open, F.try_element_at(numbers, F.lit(-1)))
 
     def span(a, b):
         return F.struct(a.alias("lo"), b.alias("hi"))
 
-    return (
-        F.when((flat == "") | flat.rlike(r"^[–\-]$") | contains_any(flat, ["未查到", "未找到", "未提取"]), None)
-        .when(F.contains(flat, F.lit(":")), None)
-        .when(top.isNotNull(), span(nothing, top))
-        .when(low.isNotNull(), span(low, nothing))
-        .when((F.size(parts) == 2) & (lo.isNotNull() | hi.isNotNull()), span(lo, hi))
-    )
+    def one_sided(flat, sign, place):
+        bound = leading_number(F.regexp_extract(flat, f"^[{sign}]([0-9.]+)", 1))
+        return F.when(flat.rlike(f"^[{sign}][0-9.]"), span(nothing, bound) if place == "hi" else span(bound, nothing))
+
+    def two_sided(flat):
+        parts = F.split(flat, "~")
+        both = span(side(F.get(parts, F.lit(0))), side(F.get(parts, F.lit(1))))
+        usable = let(both, lambda r: F.when(r["lo"].isNotNull() | r["hi"].isNotNull(), r))
+        return F.when(F.contains(flat, F.lit("~")) & (F.size(parts) == 2), usable)
+
+    def read(flat):
+        unusable = (flat == "") | flat.rlike(r"^[–\-]$|未查到|未找到|未提取|:")
+        return F.when(~unusable, F.coalesce(one_sided(flat, "≤<", "hi"), one_sided(flat, "≥>", "lo"), two_sided(flat)))
+
+    return let(F.translate(half_width_signs(F.coalesce(col(c), F.lit(""))), "％%", ""), read)
 
 
 def review_plan(c) -> Column:
@@ -160,17 +171,24 @@ def review_plan(c) -> Column:
         leading_number(F.regexp_extract(c, edge + r"m\s*=\s*([\d.]+)", 1)).alias("low"),
         leading_number(F.regexp_extract(c, edge + r"M\s*=\s*([\d.]+)", 1)).alias("high"),
     )
-    return F.when(plan["n"].isNotNull() & plan["c"].isNotNull() & plan["low"].isNotNull(), plan)
+    complete = lambda p: F.when(p["n"].isNotNull() & p["c"].isNotNull() & p["low"].isNotNull(), p)
+    return F.when(F.contains(c, F.lit("=")), let(plan, complete))
 
 
 def review_samples(c) -> Column:
-    parts = F.filter(F.transform(F.split(F.coalesce(col(c), F.lit("")), "[,，；;]+"), strip), lambda p: p != "")
-    values = F.transform(
-        parts,
-        lambda p: F.when(p.rlike("(?i)[<＜]|未检出|^ND$"), F.lit(0.0))
-        .otherwise(leading_number(F.regexp_extract(p, r"([0-9.]+)", 1))),
+    c = F.coalesce(col(c), F.lit(""))
+
+    def value(p):
+        return F.when(p.rlike("(?i)[<＜]|未检出|^ND$"), F.lit(0.0)).otherwise(
+            leading_number(F.regexp_extract(p, r"([0-9.]+)", 1))
+        )
+
+    parts = F.filter(F.transform(F.split(c, "[,，；;]+"), strip), lambda p: p != "")
+    values = let(
+        F.transform(parts, value),
+        lambda v: F.when((F.size(v) >= 2) & F.forall(v, lambda x: x.isNotNull()), v),
     )
-    return F.when((F.size(parts) >= 2) & F.forall(values, lambda v: v.isNotNull()), values)
+    return F.when(c.rlike("[,，；;]"), values)
 
 
 def review_plan_class(samples: Column, plan: Column) -> Column:

@@ -11,6 +11,9 @@ from millaudit import fixed_values as V
 # The blanks of the report texts: Java's \s is ASCII only, so the class is spelled out.
 BLANK = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 CJK = r"[\x{4e00}-\x{9fa5}]"
+BLANKS = "".join(
+    chr(x) for x in [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+)
 FULL_WIDTH_DIGITS = "０１２３４５６７８９"
 HALF_WIDTH_DIGITS = "0123456789"
 
@@ -19,13 +22,18 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(c) -> Column:
     """Without leading and trailing blanks."""
-    return F.regexp_replace(col(c), f"^{BLANK}+|{BLANK}+$", "")
+    return F.btrim(col(c), F.lit(BLANKS))
 
 
 def without_blanks(c) -> Column:
-    return F.regexp_replace(col(c), f"{BLANK}+", "")
+    return F.translate(col(c), BLANKS, "")
 
 
 def squash(c) -> Column:
@@ -54,7 +62,8 @@ def half_width(c) -> Column:
 
 def number(c) -> Column:
     """A number text as double, null where it is none (two dots, a lone dot, blank)."""
-    return half_width(c).try_cast("double")
+    # An empty text is not cast: a failed cast costs far more than the test.
+    return let(col(c), lambda v: F.when(v != "", half_width(v).try_cast("double")))
 
 
 def number_text(c) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from millaudit import fixed_values as V
 from millaudit.functions import codes, dates
-from millaudit.functions.text import col, contains_any, first_match, repaired_cell, squash, strip
+from millaudit.functions.text import col, contains_any, first_match, let, repaired_cell, strip
 
 ITEM_FIELDS = ["index", "item", "unit", "standard", "value", "method", "conclusion"]
 
@@ -85,8 +85,7 @@ def _first_of_lines(level: int, value_of) -> Column:
 
 
 def _first_of_tables(level: int, words, value_of) -> Column:
-    def of_table(table, table_no):
-        at = _column_of(table, words)
+    def of_column(table, table_no, at):
         return F.filter(
             F.transform(
                 F.slice(table, 2, F.greatest(F.size(table), F.lit(1))),
@@ -98,6 +97,9 @@ def _first_of_tables(level: int, words, value_of) -> Column:
             lambda x: x["value"].isNotNull(),
         )
 
+    def of_table(table, table_no):
+        return let(_column_of(table, words), lambda at: of_column(table, table_no, at))
+
     usable = F.filter(F.coalesce(F.col("tables"), F.array().cast("array<array<array<string>>>")), lambda t: F.size(t) > 0)
     return F.get(F.flatten(F.transform(usable, of_table)), F.lit(0))
 
@@ -258,26 +260,26 @@ def _first_place(found: DataFrame, carried) -> DataFrame:
 
 # --- inspection items ---------------------------------------------------------------------------
 
-def item_roles(table: Column) -> dict[str, Column]:
-    """0-based column of each role in a table, by its title."""
-    return {role: _column_of(table, words) for role, words in V.ITEM_COLUMN_TITLES.items()}
+def item_roles(table: Column) -> Column:
+    """struct of the 0-based column of each role in a table, by its title."""
+    return F.struct(*[_column_of(table, words).alias(role) for role, words in V.ITEM_COLUMN_TITLES.items()])
 
 
 def inspection_items(pages: DataFrame) -> DataFrame:
     """Items of all tables with an item and a value column; the first of equal (item, value) stays."""
 
-    def of_table(table, table_no):
-        roles = item_roles(table)
+    def of_row(row, i, table_no, roles):
+        cells = [repaired_cell(F.get(row, roles[f])).alias(f) for f in ITEM_FIELDS]
+        return F.struct(table_no.alias("table_no"), i.alias("row_no"), *cells)
 
-        def of_row(row, i):
-            cells = [
-                F.coalesce(repaired_cell(F.get(row, roles[f])), F.lit("")).alias(f) for f in ITEM_FIELDS
-            ]
-            return F.struct(table_no.alias("table_no"), i.alias("row_no"), *cells)
+    def of_table(table, table_no):
+        def rows_of(roles):
+            usable = roles["item"].isNotNull() & roles["value"].isNotNull()
+            below = F.slice(table, 2, F.greatest(F.size(table), F.lit(1)))
+            rows = F.transform(F.filter(below, lambda r: usable), lambda row, i: of_row(row, i, table_no, roles))
+            return F.filter(rows, lambda r: (r["item"] != "") | (r["value"] != "") | (r["standard"] != ""))
 
-        rows = F.transform(F.slice(table, 2, F.greatest(F.size(table), F.lit(1))), of_row)
-        usable = roles["item"].isNotNull() & roles["value"].isNotNull()
-        return F.filter(rows, lambda r: usable & ((r["item"] != "") | (r["value"] != "") | (r["standard"] != "")))
+        return let(item_roles(table), rows_of)
 
     tables = F.filter(F.coalesce(F.col("tables"), F.array().cast("array<array<array<string>>>")), lambda t: F.size(t) > 0)
     found = pages.select("report_id", "page", F.inline(F.flatten(F.transform(tables, of_table))))

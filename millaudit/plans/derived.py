@@ -29,7 +29,7 @@ SELECT o_orderkey AS report_id,
   CASE o_orderkey % 6 WHEN 0 THEN 'STANDARD' WHEN 1 THEN 'ECONOMY' WHEN 2 THEN 'MEDIUM' WHEN 3 THEN 'PROMO' WHEN 4 THEN 'LARGE' ELSE 'SMALL' END AS category,
   CAST(o_orderdate AS DATE) AS made, o_custkey AS custkey
 FROM {orders}""",
-    # One reported item per line: (line, part, supp) is its place in the report.
+    # One reported item per line: (line, part, supp, price) is its place in the report.
     "d_item": """
 SELECT l_orderkey AS report_id, l_linenumber AS line, l_partkey AS part, l_suppkey AS supp,
   CASE l_orderkey % 6 WHEN 0 THEN 'STANDARD' WHEN 1 THEN 'ECONOMY' WHEN 2 THEN 'MEDIUM' WHEN 3 THEN 'PROMO' WHEN 4 THEN 'LARGE' ELSE 'SMALL' END AS category,
@@ -44,7 +44,7 @@ SELECT l_orderkey AS report_id, l_linenumber AS line, l_partkey AS part, l_suppk
     WHEN 5 THEN CAST(CAST(l_quantity AS INT) AS STRING) || '.5' ELSE 'ND' END AS value,
   CASE l_suppkey % 3 WHEN 0 THEN 'GB 5009.' || CAST(l_partkey % 20 AS STRING) || '-2016 第一法'
     WHEN 1 THEN 'GB/T 5009.' || CAST(l_partkey % 20 AS STRING) || '-2016 第二法' ELSE '' END AS method,
-  l_shipdate AS shipped
+  l_shipdate AS shipped, l_extendedprice AS price
 FROM {lineitem} JOIN {part} ON l_partkey = p_partkey""",
     # Rule book: required items per category; place by part number.
     "d_rule": """

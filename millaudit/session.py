@@ -48,3 +48,11 @@ def work_folder(spark: SparkSession, name: str) -> str:
 
 def table(spark: SparkSession, folder: str, name: str):
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def stored(spark: SparkSession, rows, name: str):
+    """Rows written to the shared folder and read back: a result used several times is worked out once,
+    and a lost executor never makes its lineage run again."""
+    path = work_folder(spark, name)
+    rows.write.parquet(path)
+    return spark.read.parquet(path)
