@@ -8,13 +8,11 @@ when the questions are small). Ranks are cut per map task before the shuffle.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from millaudit import fixed_values as V
-from millaudit.functions import codes, html
-from millaudit.functions.text import all_matches, col, contains_any, name_without_unit_note, strip
+from millaudit.functions import html
+from millaudit.functions.text import col, contains_any, let, name_without_unit_note, strip
 from millaudit.operators.common import first_k
 
 
@@ -79,8 +77,11 @@ def char_grams(c, n: int) -> Column:
 
 
 def _runs(parts: Column, n: int, glue: str) -> Column:
-    starts = F.sequence(F.lit(1), F.greatest(F.size(parts) - n + 1, F.lit(1)))
-    return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(parts, i, n), glue)))
+    def runs(items):
+        starts = F.sequence(F.lit(1), F.greatest(F.size(items) - n + 1, F.lit(1)))
+        return F.transform(starts, lambda i: F.array_join(F.slice(items, i, n), glue))
+
+    return F.array_distinct(let(parts, runs))
 
 
 def scored_chunks(questions: DataFrame, chunks: DataFrame, grams) -> DataFrame:
