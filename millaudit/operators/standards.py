@@ -294,3 +294,8 @@ def search_records(rows: DataFrame, variants, detail_variants, number: str = "gb
         status.alias("status"),
         F.coalesce(*links).alias("detail_url"),
     )
+
+
+def first_links(results: DataFrame, pattern: str = V.DETAIL_LINK) -> DataFrame:
+    """First result of a search whose link has the pattern; results: (query_id, pos, url)."""
+    return results.where(F.col("url").rlike(pattern)).groupBy("query_id").agg(F.min_by("url", "pos").alias("url"))
