@@ -84,23 +84,34 @@ def _runs(parts: Column, n: int, glue: str) -> Column:
     return F.array_distinct(let(parts, runs))
 
 
-def scored_chunks(questions: DataFrame, chunks: DataFrame, grams) -> DataFrame:
-    """(question_id, chunk_id, score) of all pairs sharing a gram; questions: (question_id, question)."""
-    asked = questions.select("question_id", grams("question").alias("_g")).select(
-        "question_id", F.size("_g").alias("n_grams"), F.explode("_g").alias("gram")
-    )
+def scored_chunks(questions: DataFrame, chunks: DataFrame, grams, common: float = 1.0) -> DataFrame:
+    """(question_id, chunk_id, score) of all pairs sharing a gram; questions: (question_id, question).
+
+    Grams held by more than the share ``common`` of all chunks carry no weight: they tell chunks apart
+    no better than chance and would pair every question with every chunk.
+    """
+    asked = questions.select("question_id", F.explode(grams("question")).alias("gram"))
     held = chunks.select("chunk_id", F.explode(grams("content")).alias("gram"))
+    if common < 1.0:
+        most = common * chunks.count()
+        wanted = asked.select("gram").distinct()
+        frequent = held.join(wanted, "gram", "left_semi").groupBy("gram").count().where(F.col("count") > most)
+        asked = asked.join(frequent, "gram", "left_anti")
+    sizes = asked.groupBy("question_id").agg(F.count("*").alias("n_grams"))
     return (
         held.join(asked, "gram")
         .groupBy("question_id", "chunk_id")
-        .agg(F.count("*").alias("shared"), F.first("n_grams").alias("n_grams"))
+        .agg(F.count("*").alias("shared"))
+        .join(sizes, "question_id")
         .select("question_id", "chunk_id", (F.col("shared") / F.col("n_grams")).alias("score"))
     )
 
 
-def top_chunks(questions: DataFrame, chunks: DataFrame, grams, k: int = 30, least: float = 0.0) -> DataFrame:
+def top_chunks(
+    questions: DataFrame, chunks: DataFrame, grams, k: int = 30, least: float = 0.0, common: float = 1.0
+) -> DataFrame:
     """Top k chunks per question by score, ties by chunk: (question_id, chunk_id, score, rank)."""
-    scored = scored_chunks(questions, chunks, grams).where(F.col("score") >= least)
+    scored = scored_chunks(questions, chunks, grams, common).where(F.col("score") >= least)
     return first_k(scored, ["question_id"], [F.desc("score"), F.asc("chunk_id")], k)
 
 
