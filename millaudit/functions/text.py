@@ -112,21 +112,30 @@ def name_parts(c) -> Column:
     """Names a merged (already normalised) name is made of; a single name gives itself."""
     c = col(c)
     whole = F.array(c)
-    result = whole
-    # Suffix rule, last in order: cut after every occurrence of a suffix that occurs twice.
-    kinds = reduce(lambda a, b: a + b, [F.contains(c, F.lit(s)).cast("int") for s in V.NAME_SUFFIXES])
-    for suffix in reversed(V.NAME_SUFFIXES):
-        pieces = F.regexp_extract_all(c, F.lit(f"(?s)(.*?{suffix})"), 1)
-        result = F.when((kinds >= 2) & (F.size(pieces) >= 2), pieces).otherwise(result)
-    # Separators come before the suffix rule; the first one that gives two parts decides.
-    for separator in reversed(V.NAME_SEPARATORS):
-        parts = F.filter(F.split(c, separator), lambda p: p != "")
-        split = F.when(F.exists(parts, is_composite), whole).otherwise(parts)
-        result = F.when(F.size(parts) >= 2, split).otherwise(result)
+    words = lambda texts: F.array(*[F.lit(t) for t in texts])
+
+    def first_split(ways):
+        """The first way that gives at least two parts, null when none does."""
+        return F.get(F.filter(ways, lambda parts: F.size(parts) >= 2), F.lit(0))
+
+    by_separator = first_split(
+        F.transform(words(V.NAME_SEPARATORS), lambda s: F.filter(F.split(c, s), lambda p: p != ""))
+    )
+    kinds = F.size(F.filter(words(V.NAME_SUFFIXES), lambda s: F.contains(c, s)))
+    by_suffix = first_split(
+        F.transform(words(V.NAME_SUFFIXES), lambda s: F.regexp_extract_all(c, F.concat(F.lit("(?s)(.*?"), s, F.lit(")")), 1))
+    )
+    # A part that is a composite of its own means the cut was wrong; the suffix rule comes last.
+    checked = let(
+        by_separator,
+        lambda parts: F.when(F.exists(parts, is_composite), whole).otherwise(
+            F.coalesce(parts, F.when(kinds >= 2, by_suffix), whole)
+        ),
+    )
     return (
         F.when(c == "", F.array().cast("array<string>"))
         .when((F.length(c) <= 6) | is_composite(c), whole)
-        .otherwise(result)
+        .otherwise(checked)
     )
 
 

@@ -26,13 +26,13 @@ SELECT o_orderkey AS report_id,
     WHEN 1 THEN CAST(year(o_orderdate) AS STRING) || '/' || CAST(month(o_orderdate) AS STRING) || '/' || CAST(day(o_orderdate) AS STRING)
     WHEN 2 THEN CAST(year(o_orderdate) AS STRING) || '.' || CAST(month(o_orderdate) AS STRING) || '.' || CAST(day(o_orderdate) AS STRING)
     ELSE CAST(year(o_orderdate) AS STRING) || '年' || CAST(month(o_orderdate) AS STRING) || '月' || CAST(day(o_orderdate) AS STRING) || '日' END AS production_date,
-  CASE o_orderkey % 6 WHEN 0 THEN 'STANDARD' WHEN 1 THEN 'ECONOMY' WHEN 2 THEN 'MEDIUM' WHEN 3 THEN 'PROMO' WHEN 4 THEN 'LARGE' ELSE 'SMALL' END AS category,
+  CASE o_orderkey % 6 WHEN 0 THEN 'STANDARD' WHEN 1 THEN 'ECONOMY' WHEN 2 THEN 'MEDIUM' WHEN 3 THEN 'PROMO' WHEN 4 THEN 'LARGE' ELSE 'SMALL' END || '/Brand#' || CAST(1 + o_orderkey % 25 AS STRING) AS category,
   CAST(o_orderdate AS DATE) AS made, o_custkey AS custkey
 FROM {orders}""",
     # One reported item per line: (line, part, supp, price) is its place in the report.
     "d_item": """
 SELECT l_orderkey AS report_id, l_linenumber AS line, l_partkey AS part, l_suppkey AS supp,
-  CASE l_orderkey % 6 WHEN 0 THEN 'STANDARD' WHEN 1 THEN 'ECONOMY' WHEN 2 THEN 'MEDIUM' WHEN 3 THEN 'PROMO' WHEN 4 THEN 'LARGE' ELSE 'SMALL' END AS category,
+  CASE l_orderkey % 6 WHEN 0 THEN 'STANDARD' WHEN 1 THEN 'ECONOMY' WHEN 2 THEN 'MEDIUM' WHEN 3 THEN 'PROMO' WHEN 4 THEN 'LARGE' ELSE 'SMALL' END || '/Brand#' || CAST(1 + l_orderkey % 25 AS STRING) AS category,
   CASE l_partkey % 6 WHEN 0 THEN p_name || '（以' || p_brand || '计）' WHEN 1 THEN replace(p_name, ' ', '') || '总量'
     WHEN 2 THEN '总' || p_name WHEN 3 THEN replace(p_name, ' ', '和') WHEN 4 THEN p_name || '1' ELSE p_name END AS item,
   CASE l_suppkey % 4 WHEN 0 THEN 'mg/kg' WHEN 1 THEN 'g/100g' WHEN 2 THEN '' ELSE 'CFU/g' END AS unit,
@@ -48,7 +48,7 @@ SELECT l_orderkey AS report_id, l_linenumber AS line, l_partkey AS part, l_suppk
 FROM {lineitem} JOIN {part} ON l_partkey = p_partkey""",
     # Rule book: required items per category; place by part number.
     "d_rule": """
-SELECT p_type AS category, p_partkey AS pos,
+SELECT p_type || '/' || p_brand AS category, p_partkey AS pos,
   CASE p_partkey % 5 WHEN 0 THEN p_name WHEN 1 THEN replace(p_name, ' ', '') || '之和' WHEN 2 THEN replace(p_name, ' ', '、')
     WHEN 3 THEN p_name || '（' || p_brand || '）' ELSE substr(p_name, 1, 7) END AS item_name,
   CASE WHEN p_partkey % 4 = 1 THEN '限' || p_brand || '产品' ELSE '' END AS condition,
@@ -72,7 +72,7 @@ FROM {supplier}""",
 SELECT DISTINCT l_orderkey AS report_id, l_suppkey AS pos,
   CASE l_suppkey % 5 WHEN 0 THEN 'GB ' || CAST(90000 + l_suppkey AS STRING) WHEN 1 THEN 'GB/T ' || CAST(2000 + l_suppkey AS STRING) || '- 2016'
     ELSE 'GB ' || CAST(2000 + l_suppkey AS STRING) || '-2016' END AS code,
-  CASE l_orderkey % 6 WHEN 0 THEN 'STANDARD' WHEN 1 THEN 'ECONOMY' WHEN 2 THEN 'MEDIUM' WHEN 3 THEN 'PROMO' WHEN 4 THEN 'LARGE' ELSE 'SMALL' END AS category
+  CASE l_orderkey % 6 WHEN 0 THEN 'STANDARD' WHEN 1 THEN 'ECONOMY' WHEN 2 THEN 'MEDIUM' WHEN 3 THEN 'PROMO' WHEN 4 THEN 'LARGE' ELSE 'SMALL' END || '/Brand#' || CAST(1 + l_orderkey % 25 AS STRING) AS category
 FROM {lineitem}""",
     # Verdict store with old and young rows.
     "d_store": """
