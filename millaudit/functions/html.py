@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from millaudit import fixed_values as V
-from millaudit.functions.text import all_matches, col, contains_any, first_match, let, squash, strip
+from millaudit.functions.text import BLANK, all_matches, col, contains_any, first_match, let, squash, strip
 
 _TABLE = r"(?is)<table\b[^>]*>.*?(?:</table>|\z)"
 _ROW = r"(?is)<tr\b[^>]*>(.*?)(?=<tr\b|</tr>|</table>|\z)"
@@ -21,15 +21,20 @@ def without_tags(c) -> Column:
 
 
 def unescaped(c) -> Column:
-    c = col(c)
-    plain = c
-    for entity, sign in _ENTITIES:
-        plain = F.replace(plain, F.lit(entity), F.lit(sign))
-    return F.when(F.contains(c, F.lit("&")), plain).otherwise(c)
+
+    def resolved(x):
+        plain = x
+        for entity, sign in _ENTITIES:
+            plain = F.replace(plain, F.lit(entity), F.lit(sign))
+        return F.when(F.contains(x, F.lit("&")), plain).otherwise(x)
+
+    return let(col(c), resolved)
 
 
 def cell_text(c) -> Column:
-    return squash(unescaped(without_tags(c)))
+    """Text of a cell: tags dropped, entities resolved, blanks squashed; plain texts skip the patterns."""
+    bare = let(col(c), lambda x: F.when(F.contains(x, F.lit("<")), without_tags(x)).otherwise(x))
+    return let(unescaped(bare), lambda x: F.when(x.rlike(BLANK), squash(x)).otherwise(x))
 
 
 def has_table(c) -> Column:

@@ -42,3 +42,21 @@ def block_running_sum(rows: DataFrame, keys, block, order, value: str, out: str)
         .withColumn(out, F.col("_in") + F.col("_before"))
         .drop("_in", "_before")
     )
+
+
+def block_positions(rows: DataFrame, keys, blocks, order, out: str) -> DataFrame:
+    """Positions 1, 2, … per key in two steps, so that no key is ordered in one task.
+
+    Inside (key, blocks) rows are numbered; block counts give the offsets. ``blocks`` are columns whose
+    order agrees with ``order``, fine enough that one block fits a task.
+    """
+    inner = Window.partitionBy(*keys, *blocks).orderBy(*order)
+    before = Window.partitionBy(*keys).orderBy(*blocks).rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*keys, *blocks).agg(F.count("*").alias("_n"))
+    offsets = counts.select(*keys, *blocks, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return (
+        rows.withColumn("_in", F.row_number().over(inner))
+        .join(offsets, [*keys, *blocks])
+        .withColumn(out, F.col("_in") + F.col("_before"))
+        .drop("_in", "_before")
+    )

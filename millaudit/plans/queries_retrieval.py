@@ -277,11 +277,11 @@ def confirmed_sections(spark, sf):
   SELECT query_code, pos, k FROM n WHERE pos % greatest(1, CAST(floor(n / 4) AS BIGINT)) = 0 AND pos < 6 * greatest(1, CAST(floor(n / 4) AS BIGINT))""")
 def sampled_names(spark, sf):
     """Every n-th name of a group, at most six."""
-    from pyspark.sql import Window
+    from millaudit.operators.common import block_positions
 
-    w = Window.partitionBy("p_brand").orderBy("p_partkey")
-    names = table(spark, sf, "part").select(F.col("p_brand").alias("query_code"), F.col("p_partkey").alias("k"), (F.row_number().over(w) - 1).cast("long").alias("pos"))
-    return R.sampled_names(names)
+    rows = table(spark, sf, "part").select(F.col("p_brand").alias("query_code"), F.col("p_partkey").alias("k"), F.floor(F.col("p_partkey") / 50_000).alias("block"))
+    names = block_positions(rows, ["query_code"], ["block"], ["k"], "pos")
+    return R.sampled_names(names.select("query_code", "k", (F.col("pos") - 1).cast("long").alias("pos")))
 
 
 @query("f36_chunk_records", """SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_name WHEN p_partkey % 3 = 1 THEN p_brand ELSE p_type END AS content, CASE WHEN p_partkey % 2 = 0 THEN p_size ELSE CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 7 END END AS page_num, CASE WHEN p_partkey % 4 = 0 THEN 0.0 ELSE p_retailprice END AS score FROM part""")
@@ -310,11 +310,13 @@ def document_export(spark, sf):
   SELECT source AS query_code, CAST(min(page) FILTER (page > 0) AS INT) AS page_num, sum(length(text)) + 2 * (count(*) FILTER (text <> '') - 1) AS n_chars, arg_min(CAST(doc_id AS VARCHAR), pos) AS doc_name FROM p GROUP BY 1""")
 def combined_texts(spark, sf):
     """Documents of a source joined in page order, with lowest page and first document."""
-    from pyspark.sql import Window
+    from millaudit.operators.common import block_positions
 
     page = (F.col("n_chars") % 7).cast("int")
-    w = Window.partitionBy("source").orderBy(R.page_order(F.col("page_num")), "doc_id")
-    chunks = table(spark, sf, "documents").select(F.col("source"), "doc_id", F.col("text").alias("content"), page.alias("page_num")).withColumn("position", F.row_number().over(w) - 1)
+    chunks = table(spark, sf, "documents").select(
+        "source", "doc_id", F.col("text").alias("content"), page.alias("page_num"), R.page_order(page).alias("place"), F.floor(F.col("doc_id") / 50_000).alias("block")
+    )
+    chunks = block_positions(chunks, ["source"], ["place", "block"], ["doc_id"], "position").withColumn("position", F.col("position") - 1)
     chunks = chunks.select(F.col("source").alias("query_code"), "position", "content", "page_num", F.col("doc_id").cast("string").alias("doc_name"))
     parts = R.combined_text(chunks, part=1000)
     return parts.groupBy("query_code").agg(

@@ -47,7 +47,14 @@ def work_folder(spark: SparkSession, name: str) -> str:
 
 
 def table(spark: SparkSession, folder: str, name: str):
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A given table. Where its files give fewer splits than there are cores, rows are dealt out to all
+    cores, since the expressions here cost more than reading; a large table has splits enough and is
+    read as it is."""
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in ("region", "nation") or rows.rdd.getNumPartitions() >= cores:
+        return rows
+    return rows.repartition(cores)
 
 
 def stored(spark: SparkSession, rows, name: str):
