@@ -167,6 +167,19 @@ def page_status(c) -> Column:
     return F.coalesce(status_by_image(c), words)
 
 
+def marked_status(c, start: str = '<th bgcolor="#FFFFFF">标准状态</th>', end: str = '<th bgcolor="#FFFFFF">实施日期</th>') -> Column:
+    """Older rule: status by two images between fixed markers, null without the markers."""
+    c = col(c)
+    block = first_match(c, rf"(?s)\Q{start}\E(.*?)\Q{end}\E", 1)
+    return F.when(F.contains(block, F.lit("yjfz.gif")), "已废止").when(F.contains(block, F.lit("xxyx.gif")), "现行有效")
+
+
+def marked_cell(c, label: str) -> Column:
+    """Older rule: text of the cell behind a header with fixed markup; '暂无' is null."""
+    text = text_between(c, f'<th bgcolor="#FFFFFF">{label}</th>', "</td>")
+    return F.when(text != "暂无", text)
+
+
 def page_standard_number(c) -> Column:
     return first_match(c, r"<span>(GB\s+[\d.\-/]+)", 1)
 

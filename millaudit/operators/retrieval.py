@@ -63,6 +63,9 @@ def section_table(spark) -> DataFrame:
     )
 
 
+FEW_CHUNKS = 1000
+
+
 # --- scoring ------------------------------------------------------------------------------------
 
 def word_grams(c, n: int) -> Column:
@@ -87,13 +90,13 @@ def _runs(parts: Column, n: int, glue: str) -> Column:
 def scored_chunks(questions: DataFrame, chunks: DataFrame, grams, common: float = 1.0) -> DataFrame:
     """(question_id, chunk_id, score) of all pairs sharing a gram; questions: (question_id, question).
 
-    Grams held by more than the share ``common`` of all chunks carry no weight: they tell chunks apart
-    no better than chance and would pair every question with every chunk.
+    Grams held by more than the share ``common`` of all chunks (and by more than FEW_CHUNKS) carry no
+    weight: they do not tell chunks apart and would pair every question with every chunk.
     """
     asked = questions.select("question_id", F.explode(grams("question")).alias("gram"))
     held = chunks.select("chunk_id", F.explode(grams("content")).alias("gram"))
     if common < 1.0:
-        most = common * chunks.count()
+        most = max(common * chunks.count(), FEW_CHUNKS)
         wanted = asked.select("gram").distinct()
         frequent = held.join(wanted, "gram", "left_semi").groupBy("gram").count().where(F.col("count") > most)
         asked = asked.join(frequent, "gram", "left_anti")
@@ -115,6 +118,17 @@ def top_chunks(
     return first_k(scored, ["question_id"], [F.desc("score"), F.asc("chunk_id")], k)
 
 
+def lookup(names: DataFrame, kind: str, columns, chunks: DataFrame, grams, k: int = 30, common: float = 1.0) -> DataFrame:
+    """Retrieval request: question of a kind over name columns, its top chunks with their columns.
+
+    Equal questions are asked once: (…name columns, question, chunk_id, score, rank, chunk columns).
+    """
+    asked = names.select(*columns).distinct().withColumn("question", lookup_question(kind, *columns))
+    distinct = asked.select("question").distinct().withColumn("question_id", F.col("question"))
+    hits = top_chunks(distinct, chunks, grams, k, common=common).withColumnRenamed("question_id", "question")
+    return asked.join(with_chunks(hits, chunks), "question")
+
+
 def with_chunks(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """Hits with the chunk columns."""
     return hits.join(chunks, "chunk_id")

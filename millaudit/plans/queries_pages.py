@@ -68,6 +68,21 @@ def page_records(spark, sf):
     )
 
 
+@query("f29_f30_marked_fields", """SELECT page_id, '2020-0' || CAST(1 + page_id % 9 AS VARCHAR) || '-01' AS publish_date, CASE WHEN page_id % 2 = 0 THEN '2030-01-01' END AS abolish_date, CASE page_id % 3 WHEN 0 THEN '已废止' WHEN 1 THEN '现行有效' END AS status FROM pages""")
+def marked_fields(spark, sf):
+    """The older reading of detail pages, by fixed markup."""
+    k, th = F.col("page_id"), '<th bgcolor="#FFFFFF">'
+    head = F.concat(
+        F.lit(f"{th}发布日期</th><td>2020-0"), (1 + k % 9).cast("string"), F.lit(f"-01</td>{th}废止日期</th><td>"), F.when(k % 2 == 0, "2030-01-01").otherwise("暂无"),
+        F.lit(f"</td>{th}标准状态</th><td>"), F.when(k % 3 == 0, "yjfz.gif").when(k % 3 == 1, "xxyx.gif").otherwise("jjss.gif"), F.lit(f"</td>{th}实施日期</th>"),
+    )
+    rows = table(spark, sf, "pages").select("page_id", F.concat(head, F.col("html")).alias("html"))
+    return rows.select(
+        "page_id", html.marked_cell("html", "发布日期").alias("publish_date"), html.marked_cell("html", "废止日期").alias("abolish_date"),
+        html.marked_status("html").alias("status"),
+    )
+
+
 @query("f48_download_links", "SELECT page_id, 'https://down.foodmate.net/standard/down.php?auth=' || CAST(page_id AS VARCHAR) AS link FROM pages")
 def download_links(spark, sf):
     return _standard_pages(spark, sf).select("page_id", html.download_link("html").alias("link"))

@@ -416,3 +416,16 @@ def lookup_questions(spark, sf):
         R.lookup_question("standard", F.col("p_size").cast("string")).alias("standard"),
         R.lookup_question("limit", "p_brand", "p_name").alias("limit_question"), R.lookup_question("indicator", none, "p_name").alias("indicator"),
     )
+
+
+@query("e5_method_lookup", """WITH g AS (SELECT DISTINCT p_name, replace(p_name, ' ', '') || '检测方法' AS t FROM part), q AS (SELECT DISTINCT p_name, substr(t, CAST(i AS INT), 3) AS gram FROM (SELECT p_name, t, unnest(generate_series(1, length(t) - 2)) AS i FROM g)),
+  n AS (SELECT p_name, count(*) AS n FROM q GROUP BY 1), d AS (SELECT p_partkey, replace(p_name, ' ', '') || '检测方法' || CAST(p_size AS VARCHAR) AS t FROM part WHERE p_partkey IS NOT NULL),
+  c AS (SELECT DISTINCT p_partkey, substr(t, CAST(i AS INT), 3) AS gram FROM (SELECT p_partkey, t, unnest(generate_series(1, length(t) - 2)) AS i FROM d)),
+  s AS (SELECT q.p_name, c.p_partkey AS chunk_id, count(*) / max(n.n) AS score FROM q JOIN c USING (gram) JOIN n ON n.p_name = q.p_name GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY score DESC, chunk_id) AS rank FROM s)
+  SELECT p_name, chunk_id, score, rank FROM r WHERE rank <= 30""")
+def method_lookup(spark, sf):
+    """Chunks answering 'which methods test this item', for every item name."""
+    part = table(spark, sf, "part")
+    chunks = part.select(F.col("p_partkey").alias("chunk_id"), F.concat(F.col("p_name"), F.lit(" 检测方法"), F.col("p_size").cast("string")).alias("content"))
+    hits = R.lookup(part, "methods", ["p_name"], chunks, lambda c: R.char_grams(c, 3), 30)
+    return hits.select("p_name", "chunk_id", "score", "rank")
