@@ -183,13 +183,13 @@ lists AS (SELECT report_id, kind, name, rule_pos AS pos FROM open_rule UNION ALL
 cnt AS (SELECT report_id, count(*) FILTER (kind = 'missing') AS n_missing, count(*) FILTER (kind = 'conditional') AS n_conditional, count(*) FILTER (kind = 'method') AS n_method, count(*) FILTER (kind = 'basis') AS n_basis, 0 AS n_indicator FROM lists GROUP BY 1),
 five AS (SELECT report_id, string_agg(name, ', ' ORDER BY rn) AS names FROM (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY pos, name) AS rn FROM lists WHERE kind = 'missing') WHERE rn <= 5 GROUP BY 1),
 three AS (SELECT report_id, string_agg(name, ', ' ORDER BY rn) AS names FROM (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY pos, name) AS rn FROM lists WHERE kind = 'conditional') WHERE rn <= 3 GROUP BY 1),
-status AS (SELECT r.report_id, CASE WHEN r.food_name = '' THEN 'unknown' WHEN coalesce(n_missing, 0) > 0 THEN 'fail' WHEN coalesce(n_conditional, 0) + coalesce(n_method, 0) + coalesce(n_basis, 0) > 0 THEN 'warning' ELSE 'pass' END AS status,
-   CASE WHEN r.food_name = '' THEN '缺少食品名称，无法查询细则' ELSE concat_ws('|',
+status AS (SELECT r.report_id, CASE WHEN r.food_name = '' THEN 'unknown' WHEN ruled.category IS NULL THEN 'warning' WHEN coalesce(n_missing, 0) > 0 THEN 'fail' WHEN coalesce(n_conditional, 0) + coalesce(n_method, 0) + coalesce(n_basis, 0) > 0 THEN 'warning' ELSE 'pass' END AS status,
+   CASE WHEN r.food_name = '' THEN '缺少食品名称，无法查询细则' WHEN ruled.category IS NULL THEN '未能获取''' || r.food_name || '''的检验项目，请检查知识库内容' ELSE concat_ws('|',
      CASE WHEN n_conditional > 0 THEN '有条件检测项目未核实 (' || CAST(n_conditional AS VARCHAR) || '项): ' || three.names || CASE WHEN n_conditional > 3 THEN '...' ELSE '' END END,
      CASE WHEN n_missing > 0 THEN '缺少必检项目: ' || five.names || CASE WHEN n_missing > 5 THEN '...' ELSE '' END END,
      CASE WHEN n_method > 0 THEN '存在检测方法不一致 (' || CAST(n_method AS VARCHAR) || '项)' END,
      CASE WHEN n_basis > 0 THEN '存在判定依据不一致 (' || CAST(n_basis AS VARCHAR) || '项)' END) END AS issues
-   FROM d_report r SEMI JOIN rep_list USING (report_id) LEFT JOIN cnt USING (report_id) LEFT JOIN five ON five.report_id = r.report_id LEFT JOIN three ON three.report_id = r.report_id)
+   FROM d_report r SEMI JOIN rep_list USING (report_id) LEFT JOIN (SELECT DISTINCT category FROM rule1) ruled ON ruled.category = r.category LEFT JOIN cnt USING (report_id) LEFT JOIN five ON five.report_id = r.report_id LEFT JOIN three ON three.report_id = r.report_id)
 """
 
 
@@ -265,7 +265,7 @@ def match_badges(spark, sf):
 
 @query("a8_unified_basis", """WITH r AS (SELECT category, item_name, arg_min(standard_basis, pos) AS standard_basis FROM d_rule GROUP BY 1, 2),
   u AS (SELECT category, string_agg(DISTINCT trim(standard_basis), ' ' ORDER BY trim(standard_basis)) AS u FROM r WHERE regexp_matches(trim(standard_basis), '(?i)^GB') GROUP BY 1)
-  SELECT r.category, item_name, CASE WHEN standard_basis <> '' THEN standard_basis ELSE u END AS required_basis FROM r LEFT JOIN u USING (category)""")
+  SELECT r.category, item_name, CASE WHEN standard_basis <> '' THEN standard_basis ELSE coalesce(u, '') END AS required_basis FROM r LEFT JOIN u USING (category)""")
 def unified_basis(spark, sf):
     """Required basis of every rule: its own or the category's distinct ones."""
     return matching.with_unified_basis(rules(spark, sf)).select("category", "item_name", "required_basis")
