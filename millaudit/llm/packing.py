@@ -8,6 +8,7 @@ then number the pieces of each length and read their place from the plan.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -21,8 +22,8 @@ from millaudit.llm.common import written
 SIZE = 2048
 #: The id that ends each document.
 END_ID = 0
-#: Words whose ids a task remembers.
-REMEMBERED = 200_000
+#: Words, and parts of words, whose ids a Python worker remembers.
+REMEMBERED = 500_000
 #: Most documents of an enumerated pattern, and most patterns fitted at once.
 PATTERN_DOCS = 3
 FITTED_PATTERNS = 40_000
@@ -32,6 +33,28 @@ NUMBERED = 50_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
+#: Words whose spelling the tokenizer does not change but for lower case: printable ASCII and Latin-1 letters.
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+#: The tokenizer's parts of such a word.
+_PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9]|[^a-z0-9ªµºß-öø-ÿ]+")
+
+
+class PartIds(dict):
+    """Token ids of a part of a plain word as bytes."""
+
+    def __init__(self, tokenizer):
+        self.model = tokenizer.model
+        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow 255 in order
+        self.letters = {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in visible)}
+
+    def __missing__(self, part: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        spelled = part.encode().decode("latin-1").translate(self.letters)
+        ids = self[part] = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
+        return ids
+
+
 class WordIds(dict):
     """Token ids of a word as bytes. Words are remembered; the tokenizer never joins across a space, tab or line end."""
 
@@ -39,11 +62,22 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.parts = PartIds(self.tokenizer)
+        # The short way is taken only where it gives the tokenizer's own answer.
+        probe = "Don't stop's It'LL !!x'9a#[] Größe,ÀÉ.ª½".split(" ")
+        self.plain = all(self._plain_ids(w) == self._ids(w) for w in probe if _PLAIN.fullmatch(w))
+
+    def _ids(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _plain_ids(self, word: str) -> bytes:
+        return b"".join(map(self.parts.__getitem__, _PART.findall(word.lower())))
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        plain = self.plain and len(word) <= 64 and "<|" not in word and _PLAIN.fullmatch(word)
+        ids = self._plain_ids(word) if plain else self._ids(word)
         if len(word) <= 64:
             self[word] = ids
         return ids
@@ -52,11 +86,21 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
 
 
+_WORD_IDS: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """One per vocabulary and Python worker, so that tasks go on with what earlier ones remembered."""
+    if path not in _WORD_IDS:
+        _WORD_IDS[path] = WordIds(path)
+    return _WORD_IDS[path]
+
+
 def _pieces(path: str, size: int, with_ids: bool):
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(path)
+        words = word_ids(path)
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
