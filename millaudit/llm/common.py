@@ -163,21 +163,22 @@ def bitmap(ids: DataFrame, id_column: str, bits: int = 1 << 23) -> bytes:
     A row whose bit is not set is surely not among the ids; one whose bit is set may be. It only saves work before
     an exact join.
     """
-    place = F.pmod(F.xxhash64(id_column), F.lit(bits))
-    parts = (
-        ids.select(place.alias("p"))
-        .groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
-    )
-    whole = bytearray(bits // 8 + 8192)
-    for b, m in parts.collect():  # bits / 32768 rows of 4 KB
+    return gathered_bitmap(ids.select(bit_place(id_column, bits)), "bit", bits)
+
+
+def gathered_bitmap(places: DataFrame, column: str, bits: int) -> bytes:
+    """The bitmap of the places 0 to bits - 1 in a column: bits / 32768 rows of 4 KB on their way."""
+    number = F.col(column) + 1  # Spark's first full bucket begins at 1
+    parts = places.groupBy(F.bitmap_bucket_number(number).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("m"))
+    whole = bytearray(bits // 8 + 4096)
+    for b, m in parts.toLocalIterator():
         whole[(b - 1) * 4096 : b * 4096] = m
     return bytes(whole)
 
 
 def bit_place(id_column: str, bits: int = 1 << 23) -> Column:
     """The place of a row's id in a bitmap, as a column to hand to ``has_bit``."""
-    p = F.pmod(F.xxhash64(id_column), F.lit(bits))
-    return ((F.bitmap_bucket_number(p) - 1) * 32768 + F.bitmap_bit_position(p)).alias("bit")
+    return F.pmod(F.xxhash64(id_column), F.lit(bits)).alias("bit")
 
 
 def has_bit(whole: np.ndarray, places: np.ndarray) -> np.ndarray:

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from millaudit.llm.common import Words, bit_place, bitmap, has_bit, mixed, row_groups, sequence_hashes, written
+from millaudit.llm.common import Words, bit_place, bitmap, gathered_bitmap, has_bit, mixed, row_groups, sequence_hashes, written
 from millaudit.llm.graph import components
 
 #: Words of a shingle, and the similarity that links, in hundredths.
@@ -25,6 +25,10 @@ MANTISSA = 26
 EMPTY = np.uint32(0xFFFFFFFF)
 #: Candidates whose estimate lies so many standard errors below the link are dropped before the full sets are compared.
 ERRORS = 6.0
+#: Slots of the table that tells shingles held by one set from those held by several.
+SLOTS = 1 << 26
+#: Parts of the hashes by which such shingles are counted.
+PROFILE = 64
 _SPREAD = np.uint64(0xA0761D6478BD642F)
 
 
@@ -211,46 +215,93 @@ def _labelled(rows: DataFrame, labels: DataFrame, column: str) -> DataFrame:
     return rows.join(found, column, "left").withColumn(f"{column}_root", F.coalesce(f"{column}_root", column))
 
 
+def held_elsewhere(shingles: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """(set_id, elsewhere): how many of a set's shingles may occur in another of the sets, never too few, by PROFILE parts of the hashes.
+
+    Shingles are counted by slot of a table of fixed size, whose slots with two or more fill a bitmap; strangers in one slot
+    can only raise a number. Two sets share at most the sum of the smaller numbers of all parts.
+    """
+
+    def places(column):
+        hashes = np.frombuffer(b"".join(column.to_pylist()), np.uint64)
+        return (hashes % np.uint64(slots)).astype(np.int64)
+
+    def spread(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                yield pa.RecordBatch.from_arrays([pa.array(places(batch.column("shingles").slice(at, 500)))], names=["slot"])
+
+    several = shingles.select("shingles").mapInArrow(spread, "slot bigint").groupBy("slot").agg(F.count("*").alias("n")).where("n > 1")
+    handed = shingles.sparkSession.sparkContext.broadcast(gathered_bitmap(several, "slot", slots))
+
+    def count(batches):
+        bits = np.frombuffer(handed.value, np.uint8)
+        for batch in batches:
+            column, found = batch.column("shingles"), []
+            for i in range(batch.num_rows):
+                hashes = np.frombuffer(column[i].as_py(), np.uint64)
+                held = hashes[has_bit(bits, places(column.slice(i, 1)))]
+                found.append(np.bincount((held >> np.uint64(40)).astype(np.int64) % PROFILE, minlength=PROFILE))
+            yield pa.RecordBatch.from_arrays([batch.column("set_id"), pa.array(found, pa.list_(pa.int64()))], names=["set_id", "elsewhere"])
+
+    return shingles.mapInArrow(count, "set_id bigint, elsewhere array<bigint>")
+
+
 def set_links(documents: DataFrame, sets: DataFrame, first_links: DataFrame, k: int = SHINGLE, link: int = LINK) -> DataFrame:
     """(node, root) over set ids: every link between different sets is confirmed or lies inside a component.
 
-    In a bucket of equal bands, members are compared with the bucket's smallest set first: one smallest partner per set, then the
-    partners of all its bands. Components form after each step, and only pairs in a bucket whose components still
-    differ are compared in full. So a bucket of many copies costs as many comparisons as it has members, and no pair
-    that could join two components is left out.
+    In a bucket of equal bands, members are compared with the bucket's smallest set first: one smallest partner per set, then the partners
+    of all its buckets. What is left are pairs in a bucket whose components still differ; of those, only pairs that can reach
+    the link at all are compared: their shingles that occur elsewhere, counted by parts of the hashes, must allow it. So
+    a bucket of many copies costs about as many comparisons as it has members, and no pair that could join two
+    components is left out.
     """
     keys = bands(sets)
-    buckets = keys.groupBy("key").agg(F.min("set_id").alias("leader"), F.max("set_id").alias("last")).where("leader < last")
-    shared = written(keys.join(buckets.select("key", "leader"), "key").select("key", "set_id", "leader"), "shared")
-    wanted = sets.join(shared.select("set_id").distinct(), "set_id", "left_semi").select("set_id", "doc_id")
-    shingles = written(full_sets(documents, written(wanted, "wanted"), k), "shingles")
+    buckets = keys.groupBy("key").agg(F.min("set_id").alias("first"), F.max("set_id").alias("last")).where("first < last")
+    shared = written(keys.join(buckets.select("key", "first"), "key").select("key", "set_id", "first"), "shared")
+    near = written(sets.join(shared.select("set_id").distinct(), "set_id", "left_semi"), "near")
+    shingles = written(full_sets(documents, near.select("set_id", "doc_id"), k), "shingles")
 
     def check(pairs):
-        return confirmed(likely(pairs, sets, link), shingles, link)
-
-    nearest = shared.where("set_id <> leader").groupBy("set_id").agg(F.min("leader").alias("a")).select("a", F.col("set_id").alias("b"))
-    labels = components(check(nearest).unionByName(first_links))
-
-    stars = shared.where("set_id <> leader").select(F.col("leader").alias("a"), F.col("set_id").alias("b")).distinct()
-    apart = _labelled(_labelled(stars, labels, "a"), labels, "b").where("a_root <> b_root").select("a", "b")
-    old = labels.select(F.col("root").alias("a"), F.col("node").alias("b"))
-    labels = components(check(apart).unionByName(old))
-
-    members = _labelled(shared.select("key", "set_id"), labels, "set_id")
-    open_buckets = members.groupBy("key").agg(F.min("set_id_root").alias("lo"), F.max("set_id_root").alias("hi")).where("lo < hi").select("key")
-    sizes = sets.select("set_id", "n_shingles")
-    members = written(members.join(open_buckets, "key").join(sizes, "set_id"), "members")
-    left = members.select("key", F.col("set_id").alias("a"), F.col("set_id_root").alias("a_root"), F.col("n_shingles").alias("a_n"))
-    right = members.select("key", F.col("set_id").alias("b"), F.col("set_id_root").alias("b_root"), F.col("n_shingles").alias("b_n"))
+        return confirmed(likely(pairs, near, link), shingles, link)
+
+    stars = shared.where("set_id <> first").select(F.col("first").alias("a"), F.col("set_id").alias("b"))
+    links = written(check(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")), "links")
+    parents = links.select(F.col("b").alias("node"), F.col("a").alias("root"))  # one smaller partner each
+    apart = _labelled(_labelled(stars.distinct(), parents, "a"), parents, "b").where("a_root <> b_root and a <> b_root").select("a", "b")
+    labels = components(links.unionByName(check(apart)).unionByName(first_links))
+
+    open_members = written(_open(shared.select("key", "set_id"), labels), "open")
+    elsewhere = held_elsewhere(shingles.join(open_members.select("set_id").distinct(), "set_id", "left_semi"))
+    total = F.aggregate("elsewhere", F.lit(0).cast("bigint"), lambda s, x: s + x)
+    able = near.select("set_id", "n_shingles").join(elsewhere.withColumn("total", total), "set_id").where(f"100 * total >= {link} * n_shingles")
+    rest = _several_roots(open_members.join(able, "set_id"))
+    rest = written(rest.join(rest.groupBy("set_id").agg(F.collect_set("key").alias("keys")), "set_id"), "rest")  # at most one key per band
+    left = rest.toDF(*["key" if c == "key" else f"a_{c}" for c in rest.columns])
+    right = rest.toDF(*["key" if c == "key" else f"b_{c}" for c in rest.columns])
+    common = F.aggregate(F.zip_with("a_elsewhere", "b_elsewhere", lambda x, y: F.least(x, y)), F.lit(0).cast("bigint"), lambda s, x: s + x)
+    needed = link * (F.col("a_n_shingles") + F.col("b_n_shingles"))
     across = (
         left.join(right, "key")
-        .where("a < b and a_root <> b_root").where(f"100 * least(a_n, b_n) >= {link} * greatest(a_n, b_n)")
-        .select("a", "b").distinct()
+        .where("a_set_id < b_set_id and a_set_id_root <> b_set_id_root")
+        .where(((100 + link) * F.least("a_total", "b_total") >= needed) & ((100 + link) * common >= needed))
+        .where(F.col("key") == F.array_min(F.array_intersect("a_keys", "b_keys")))  # once per pair
+        .select(F.col("a_set_id").alias("a"), F.col("b_set_id").alias("b"))
     )
     old = labels.select(F.col("root").alias("a"), F.col("node").alias("b"))
     return components(check(across).unionByName(old))
 
 
+def _several_roots(members: DataFrame) -> DataFrame:
+    """Members of buckets that hold more than one component."""
+    several = members.groupBy("key").agg(F.min("set_id_root").alias("lo"), F.max("set_id_root").alias("hi")).where("lo < hi").select("key")
+    return members.join(several, "key")
+
+
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    return _several_roots(_labelled(members, labels, "set_id"))
+
+
 def near_duplicates(documents: DataFrame, k: int = SHINGLE, link: int = LINK) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per document row.
 
