@@ -11,9 +11,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Bytes hashed at once; longer texts go through in blocks cut between words.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: Bytes of text handled together inside a task.
-GROUP = 2 << 20
+GROUP = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2^64
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _STEP = np.uint64(0xD6E8FEB86659FD93)

@@ -21,8 +21,8 @@ from millaudit.llm.fm_index import FMIndex
 WINDOW = 50
 GRAM = 8
 #: Words of a shard, and distinct segments of an anchor beyond which its windows are spread over shards one by one.
-SHARD_WORDS = 1_000_000
-HOT_SEGMENTS = 10_000
+SHARD_WORDS = 250_000
+HOT_SEGMENTS = 3_000
 _NO_DOC = np.int64(np.iinfo(np.int64).max)
 
 
