@@ -64,8 +64,9 @@ def without_boilerplate(documents: DataFrame, sites: int = SITES, min_chars: int
     """
     documents = documents.drop("n_lines", "n_removed")
     out = documents.columns
+    # Removals grow with the documents, so they are never broadcast.
     gone = written(removals(documents, sites, min_chars), "removals").withColumnsRenamed({"doc_id": "__gone_doc", "text_key": "__gone_text", "positions": "__gone"})
-    joined = documents.join(gone, (F.col("doc_id") == F.col("__gone_doc")) & (F.xxhash64("text") == F.col("__gone_text")), "left")
+    joined = documents.join(gone.hint("merge"), (F.col("doc_id") == F.col("__gone_doc")) & (F.xxhash64("text") == F.col("__gone_text")), "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("__gone", i)), "\n")
     return joined.withColumns(
         {

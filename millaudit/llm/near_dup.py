@@ -330,4 +330,4 @@ def kept_documents(documents: DataFrame, k: int = SHINGLE, link: int = LINK) ->
     """The documents with their columns, one of each group of near duplicates: the smallest doc_id."""
     found = near_duplicates(documents, k, link)
     gone = found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return documents.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    return documents.join(gone.hint("merge"), F.col("doc_id") == F.col("__gone"), "left_anti")
