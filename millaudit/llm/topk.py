@@ -1,10 +1,9 @@
 """Exact top-k by inner product with a three-phase uniform threshold.
 
-The dimensions are cut into LISTS parts; a vector's partial score in each part is one entry of a score list, and lists are kept
-in tiles of vectors. Phase 1 gathers the k best entries of every list and scores those vectors in full: the k-th best total
-is a safe cutoff. Phase 2 sends cutoff / LISTS to every tile, which answers with all entries at least as high; a vector whose total
-reaches the cutoff has such an entry in some list. Phase 3 drops vectors that cannot reach the cutoff any more and
-resolves the others exactly.
+The dimensions are cut into LISTS parts; the partial scores of a tile of vectors in one part are a score list. Phase 1 gathers the
+k best entries of every list and scores those vectors in full: the k-th best total is a safe cutoff. Phase 2 sends
+cutoff / LISTS to every list, which collects all entries at least as high; a vector whose total reaches the cutoff has such an
+entry in some list. Phase 3 resolves the collected vectors exactly where their lists lie.
 """
 
 from __future__ import annotations
@@ -53,65 +52,75 @@ def _products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return left @ right.T
 
 
-def _nodes(vectors: DataFrame, queries: DataFrame, lists: int, width: int, n_tiles: int, n_query_tiles: int):
-    """Queries and candidates dealt to (query tile, tile, list): each pair of tiles meets once per list."""
-    part = F.explode(F.transform(F.sequence(F.lit(0), F.lit(lists - 1)), lambda j: F.struct(j.alias("list"), F.slice("v", j * width + 1, width).alias("part"))))
+def _nodes(vectors: DataFrame, queries: DataFrame, n_tiles: int, n_query_tiles: int):
+    """Queries and candidates dealt to (query tile, tile): each pair of tiles meets once."""
     right = (
-        vectors.select("row_id", part.alias("p"), F.pmod(F.xxhash64("row_id"), F.lit(n_tiles)).alias("tile"))
-        .select("row_id", "tile", "p.*").withColumn("query_tile", F.explode(F.sequence(F.lit(0), F.lit(n_query_tiles - 1))))
+        vectors.select("row_id", "vec_id", "v", F.pmod(F.xxhash64("row_id"), F.lit(n_tiles)).alias("tile"))
+        .withColumn("query_tile", F.explode(F.sequence(F.lit(0), F.lit(n_query_tiles - 1))))
     )
     left = (
-        queries.select("row_id", "cutoff", part.alias("p"), F.pmod(F.xxhash64("row_id"), F.lit(n_query_tiles)).cast("int").alias("query_tile"))
-        .select("row_id", "cutoff", "query_tile", "p.*").withColumn("tile", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_tiles - 1).cast("bigint"))))
+        queries.select("row_id", "cutoff", "v", F.pmod(F.xxhash64("row_id"), F.lit(n_query_tiles)).cast("int").alias("query_tile"))
+        .withColumn("tile", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_tiles - 1).cast("bigint"))))
     )
-    keys = ["query_tile", "tile", "list"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys))
+    return left.groupBy("query_tile", "tile").cogroup(right.groupBy("query_tile", "tile"))
 
 
-_ENTRIES = "query bigint, row bigint, list int, part bigint"
+def _strips(left: pa.Table, right: pa.Table):
+    """Queries in strips: their ids, cutoffs and vectors, and which candidate is the query's own row."""
+    queries, rows = left.column("row_id").to_numpy(), right.column("row_id").to_numpy()
+    cutoffs, vectors = left.column("cutoff").to_pylist(), _matrix(left.column("v"))
+    for at in range(0, len(queries) if len(rows) else 0, STRIP):
+        part = slice(at, at + STRIP)
+        yield queries[part], cutoffs[part], vectors[part], rows[None, :] == queries[part, None]
 
 
-def _entries(choose):
-    """Per query of a pair of tiles the candidates that ``choose(scores, cutoffs)`` marks, as list entries."""
+def _columns(parts: list[tuple], n: int) -> list[np.ndarray]:
+    return [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, np.int64)] * n
 
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        queries, rows = left.column("row_id").to_numpy(), right.column("row_id").to_numpy()
-        cutoffs = left.column("cutoff").to_pylist()
-        q, c = _matrix(left.column("part")), _matrix(right.column("part"))
-        out = []
-        for at in range(0, len(queries), STRIP):
-            scores = _products(q[at : at + STRIP], c)
-            own = rows[None, :] == queries[at : at + STRIP, None]
-            i, j = choose(scores, own, cutoffs[at : at + STRIP])
-            out.append((queries[at : at + STRIP][i], rows[j], scores[i, j]))
-        q_ids, r_ids, parts = (np.concatenate(x) if out else np.zeros(0, np.int64) for x in (zip(*out) if out else ((), (), ())))
-        lists = np.full(len(q_ids), key[2].as_py(), np.int32)
-        return pa.table({"query": pa.array(q_ids, pa.int64()), "row": pa.array(r_ids, pa.int64()), "list": pa.array(lists), "part": pa.array(parts, pa.int64())})
-
-    return run
 
+def _best_entries(k: int, lists: int, width: int):
+    """Phase 1: the k best entries of each list and query."""
 
-def _best(k: int):
-    def choose(scores, own, _):
-        if not scores.shape[1]:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        low = np.where(own, np.iinfo(np.int64).min, scores)
-        m = min(k, low.shape[1])
-        j = np.argpartition(-low.astype(np.float64), m - 1, axis=1)[:, :m]
-        i = np.repeat(np.arange(len(low)), m)
-        j = j.ravel()
-        real = ~own[i, j]
-        return i[real], j[real]
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows, c, out = right.column("row_id").to_numpy(), _matrix(right.column("v")), []
+        for queries, _, q, own in _strips(left, right):
+            for part in range(lists):
+                dims = slice(part * width, (part + 1) * width)
+                scores = np.where(own, np.iinfo(np.int64).min, _products(q[:, dims], c[:, dims]))
+                m = min(k, len(rows))
+                j = np.argpartition(-scores.astype(np.float64), m - 1, axis=1)[:, :m].ravel()
+                i = np.repeat(np.arange(len(queries)), m)
+                real = ~own[i, j]
+                i, j = i[real], j[real]
+                out.append((queries[i], rows[j], np.full(i.size, part), scores[i, j]))
+        return pa.table(dict(zip(("query", "row", "list", "part"), _columns(out, 4))))
 
-    return choose
+    return run
 
 
-def _at_least(lists: int):
-    def choose(scores, own, cutoffs):
-        low = np.array([np.iinfo(np.int64).min if c is None else -(-c // lists) for c in cutoffs], np.int64)
-        return np.nonzero((scores >= low[:, None]) & ~own)
+def _collected(k: int, lists: int, width: int):
+    """Phases 2 and 3: vectors with an entry of at least cutoff / lists, resolved; the k best of a tile go on."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows, c, out = right.column("row_id").to_numpy(), _matrix(right.column("v")), []
+        names = right.column("vec_id").to_pylist()
+        order = np.array([x if x is not None else np.iinfo(np.int64).max for x in names], np.int64)
+        for queries, cutoffs, q, own in _strips(left, right):
+            least = np.array([np.iinfo(np.int64).min if x is None else -(-x // lists) for x in cutoffs], np.int64)
+            reached = np.zeros(own.shape, bool)
+            for part in range(lists):
+                dims = slice(part * width, (part + 1) * width)
+                reached |= _products(q[:, dims], c[:, dims]) >= least[:, None]
+            for i, marked in enumerate(reached & ~own):
+                j = np.flatnonzero(marked)
+                total = _products(q[i : i + 1], c[j])[0]
+                enough = np.flatnonzero(total >= cutoffs[i]) if cutoffs[i] is not None else np.arange(j.size)
+                j, total = j[enough], total[enough]
+                best = np.lexsort((rows[j], order[j], -total))[:k]
+                out.append((np.full(best.size, queries[i]), rows[j[best]], total[best]))
+        return pa.table(dict(zip(("query", "row", "score"), _columns(out, 3))))
 
-    return choose
+    return run
 
 
 def _resolved(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -140,26 +149,17 @@ def top_k(embeddings: DataFrame, is_query, k: int = 5, scale: int = 256, lists:
     n_tiles, n_query_tiles = max(1, -(-size["n"] // tile)), max(1, -(-size["q"] // query_tile))
     queries = vectors.where(is_query)
 
-    def nodes(with_cutoff):
-        return _nodes(vectors, with_cutoff, lists, width, n_tiles, n_query_tiles)
-
     # Phase 1: the k best entries of each list, scored in full; their k-th best total is the cutoff.
-    local = nodes(queries.withColumn("cutoff", F.lit(None).cast("bigint"))).applyInArrow(_entries(_best(k)), _ENTRIES)
+    unlimited = _nodes(vectors, queries.withColumn("cutoff", F.lit(None).cast("bigint")), n_tiles, n_query_tiles)
+    local = unlimited.applyInArrow(_best_entries(k, lists, width), "query bigint, row bigint, list bigint, part bigint")
     gathered = _first(local, ["query", "list"], [F.desc("part")], k).select("query", "row").distinct()
     ranked = _first(_resolved(gathered, vectors), ["query"], [F.desc("score")], k)
     cutoff = ranked.where(F.col("rank") == k).select(F.col("query").alias("row_id"), F.col("score").alias("cutoff"))
 
-    # Phase 2: every entry that reaches cutoff / lists.
+    # Phases 2 and 3: the cutoff goes to every list; what reaches its share is resolved.
     limited = written(queries.join(cutoff, "row_id", "left"), "cutoffs")
-    entries = nodes(limited).applyInArrow(_entries(_at_least(lists)), _ENTRIES)
-
-    # Phase 3: what a vector may reach at most decides; the rest is resolved exactly.
-    seen = entries.groupBy("query", "row").agg(F.sum("part").alias("known"), F.count("*").alias("lists"))
-    at_most = F.col("known") + (lists - F.col("lists")) * F.col("cutoff") / lists
-    limits = limited.select(F.col("row_id").alias("query"), "cutoff")
-    open_pairs = seen.join(limits, "query").where(F.col("cutoff").isNull() | (at_most >= F.col("cutoff") - 0.5)).select("query", "row")
-    names = vectors.select(F.col("row_id").alias("row"), "vec_id")
-    scored = _resolved(open_pairs, vectors).join(names, "row")
+    scored = _nodes(vectors, limited, n_tiles, n_query_tiles).applyInArrow(_collected(k, lists, width), "query bigint, row bigint, score bigint")
+    scored = scored.join(vectors.select(F.col("row_id").alias("row"), "vec_id"), "row")
     best = _first(scored, ["query"], [F.desc("score"), F.asc_nulls_last("vec_id"), F.asc("row")], k)
     query_names = queries.select(F.col("row_id").alias("query"), F.col("vec_id").alias("query_id"))
     return best.join(query_names, "query").select("query_id", F.col("rank").cast("int"), "vec_id", "score")
