@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column, functions as F
 
 from millaudit import fixed_values as V
@@ -10,9 +13,9 @@ from millaudit.functions.text import BLANK, all_matches, col, contains_any, firs
 _TABLE = r"(?is)<table\b[^>]*>.*?(?:</table>|\z)"
 _ROW = r"(?is)<tr\b[^>]*>(.*?)(?=<tr\b|</tr>|</table>|\z)"
 _CELL = r"(?is)<(t[dh])\b[^>]*>(.*?)(?=</t[dh]>|<t[dh]\b|\z)"
-_ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-             ("&le;", "≤"), ("&ge;", "≥"), ("&mu;", "μ"), ("&micro;", "µ"), ("&middot;", "·"), ("&ndash;", "–"),
-             ("&mdash;", "—"), ("&times;", "×"), ("&alpha;", "α"), ("&beta;", "β"), ("&gamma;", "γ"), ("&amp;", "&")]
+#: Every named character reference with its end sign; a fixed blank reads as a blank.
+_NAMED = json.dumps({k[:-1]: v for k, v in html5.items() if k.endswith(";")} | {"nbsp": " "})
+_REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 _DAY = r"(?<![A-Za-z0-9_])(\d{4}-\d{2}-\d{2})(?![A-Za-z0-9_])"
 
 
@@ -21,11 +24,24 @@ def without_tags(c) -> Column:
 
 
 def unescaped(c) -> Column:
+    """Character references resolved once, numeric ones and all named ones; unknown ones stay as they are."""
+    named = F.from_json(F.lit(_NAMED), "map<string,string>")
+
+    def sign(name):
+        digits = F.when(F.lower(F.substr(name, F.lit(2), F.lit(1))) == "x", F.lpad(F.substr(name, F.lit(3)), 8, "0"))
+        point = F.coalesce(F.conv(digits, 16, 10), F.substr(name, F.lit(2))).cast("int")
+        valid = (point > 0) & (point < 0x110000) & ~point.between(0xD800, 0xDFFF)
+        number = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32"))
+        return F.when(F.startswith(name, F.lit("#")), number).otherwise(F.try_element_at(named, name))
+
+    def part(p):
+        name = F.regexp_extract(p, _REFERENCE, 1)
+        found = F.when(name != "", F.concat(sign(name), F.substr(p, F.length(name) + 2)))
+        return F.coalesce(found, F.concat(F.lit("&"), p))
 
     def resolved(x):
-        plain = x
-        for entity, sign in _ENTITIES:
-            plain = F.replace(plain, F.lit(entity), F.lit(sign))
+        parts = F.split(x, "&")
+        plain = F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), part), ""))
         return F.when(F.contains(x, F.lit("&")), plain).otherwise(x)
 
     return let(col(c), resolved)

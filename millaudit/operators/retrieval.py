@@ -63,9 +63,6 @@ def section_table(spark) -> DataFrame:
     )
 
 
-FEW_CHUNKS = 1000
-
-
 # --- scoring ------------------------------------------------------------------------------------
 
 def word_grams(c, n: int) -> Column:
@@ -87,19 +84,10 @@ def _runs(parts: Column, n: int, glue: str) -> Column:
     return F.array_distinct(let(parts, runs))
 
 
-def scored_chunks(questions: DataFrame, chunks: DataFrame, grams, common: float = 1.0) -> DataFrame:
-    """(question_id, chunk_id, score) of all pairs sharing a gram; questions: (question_id, question).
-
-    Grams held by more than the share ``common`` of all chunks (and by more than FEW_CHUNKS) carry no
-    weight: they do not tell chunks apart and would pair every question with every chunk.
-    """
+def scored_chunks(questions: DataFrame, chunks: DataFrame, grams) -> DataFrame:
+    """(question_id, chunk_id, score) of all pairs sharing a gram, however frequent; questions: (question_id, question)."""
     asked = questions.select("question_id", F.explode(grams("question")).alias("gram"))
     held = chunks.select("chunk_id", F.explode(grams("content")).alias("gram"))
-    if common < 1.0:
-        most = max(common * chunks.count(), FEW_CHUNKS)
-        wanted = asked.select("gram").distinct()
-        frequent = held.join(wanted, "gram", "left_semi").groupBy("gram").count().where(F.col("count") > most)
-        asked = asked.join(frequent, "gram", "left_anti")
     sizes = asked.groupBy("question_id").agg(F.count("*").alias("n_grams"))
     return (
         held.join(asked, "gram")
@@ -111,21 +99,21 @@ def scored_chunks(questions: DataFrame, chunks: DataFrame, grams, common: float
 
 
 def top_chunks(
-    questions: DataFrame, chunks: DataFrame, grams, k: int = 30, least: float = 0.0, common: float = 1.0
+    questions: DataFrame, chunks: DataFrame, grams, k: int = 30, least: float = 0.0
 ) -> DataFrame:
     """Top k chunks per question by score, ties by chunk: (question_id, chunk_id, score, rank)."""
-    scored = scored_chunks(questions, chunks, grams, common).where(F.col("score") >= least)
+    scored = scored_chunks(questions, chunks, grams).where(F.col("score") >= least)
     return first_k(scored, ["question_id"], [F.desc("score"), F.asc("chunk_id")], k)
 
 
-def lookup(names: DataFrame, kind: str, columns, chunks: DataFrame, grams, k: int = 30, common: float = 1.0) -> DataFrame:
+def lookup(names: DataFrame, kind: str, columns, chunks: DataFrame, grams, k: int = 30) -> DataFrame:
     """Retrieval request: question of a kind over name columns, its top chunks with their columns.
 
     Equal questions are asked once: (…name columns, question, chunk_id, score, rank, chunk columns).
     """
     asked = names.select(*columns).distinct().withColumn("question", lookup_question(kind, *columns))
     distinct = asked.select("question").distinct().withColumn("question_id", F.col("question"))
-    hits = top_chunks(distinct, chunks, grams, k, common=common).withColumnRenamed("question_id", "question")
+    hits = top_chunks(distinct, chunks, grams, k).withColumnRenamed("question_id", "question")
     return asked.join(with_chunks(hits, chunks), "question")
 
 

@@ -54,14 +54,23 @@ def verdicts(requests: DataFrame, registry: DataFrame, strict: bool = True) -> D
     """One verdict per (code, production_date).
 
     registry: (code, publish_date, implement_date, abolish_date, status, detail_url), joined on the
-    standard number with year.
+    standard number with year. Of several rows of one number, the one whose code equals the asked code counts, else
+    the first by code and dates.
     """
     asked = distinct_requests(requests).withColumn("_number", codes.standard_number("code"))
+    fields = ["publish_date", "implement_date", "abolish_date", "record_status", "detail_url"]
     known = registry.select(
-        codes.standard_number("code").alias("_number"), "publish_date", "implement_date", "abolish_date",
+        codes.standard_number("code").alias("_number"), F.col("code").alias("_code"), "publish_date", "implement_date", "abolish_date",
         F.col("status").alias("record_status"), "detail_url",
     )
-    return judged(asked.join(known, "_number", "left").drop("_number"), strict)
+
+    def plain(c):
+        return F.upper(F.regexp_replace(c, r"\s", ""))
+
+    other = F.coalesce(plain(F.col("_code")) != plain(F.col("code")), F.lit(True))
+    one = F.min_by(F.struct(*fields), F.struct(other, "_code", "implement_date", "publish_date", "abolish_date", "record_status", "detail_url"))
+    found = asked.join(known, "_number", "left").groupBy("code", "production_date").agg(one.alias("_record"))
+    return judged(found.select("code", "production_date", "_record.*"), strict)
 
 
 def judged(records: DataFrame, strict: bool = True) -> DataFrame:

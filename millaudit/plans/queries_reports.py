@@ -262,7 +262,7 @@ def limit_lookup(spark, sf):
     """Limit and verdict of every matched item: code, questions, retrieval, best chunk, limit, decision."""
     found = Q.matched(spark, sf).join(derived(spark, sf, "d_report").select("report_id", "food_name"), "report_id")
     first = derived(spark, sf, "d_cited").groupBy("report_id").agg(F.min_by("code", F.struct("pos", "code")).alias("first_code"))
-    return jobs.lookup_limits(spark, found, first, limit_chunks(spark, sf), grams=three_characters, common=0.2).drop("content")
+    return jobs.lookup_limits(spark, found, first, limit_chunks(spark, sf), grams=three_characters).drop("content")
 
 
 def three_characters(c):
@@ -299,7 +299,7 @@ def batch_limits(spark, sf):
         F.col("p_partkey").alias("chunk_id"), F.concat(code, F.lit(" 文件")).alias("doc_name"), F.col("p_size").alias("page_num"),
         F.concat(F.lit("瓜类蔬菜 限量 "), F.col("p_name")).alias("content"),
     )
-    rows = jobs.batch_limits(items.select("query_code", "pos", "name", "food"), chunks, told, common=1.0)
+    rows = jobs.batch_limits(items.select("query_code", "pos", "name", "food"), chunks, told)
     return rows.select("query_code", "item", "standard_value", "standard_unit")
 
 
