@@ -8,13 +8,14 @@ from millaudit.functions.text import safe_file_name
 from millaudit.operators import standards
 
 PART_ROWS = 1000
+FILES_PER_STANDARD = 8
 
 
 def write_artifacts(records: DataFrame, path: str) -> None:
     """One JSON folder per standard, its name safe for file systems."""
     named = records.withColumn("safe_gb", safe_file_name("gb_number"))
-    # Rows of a standard meet in one task, so that a folder holds one file and not one per task.
-    named.repartition("safe_gb").write.mode("overwrite").partitionBy("safe_gb").json(path)
+    # Rows of a standard meet in few tasks: a folder holds few files, and a frequent standard is spread.
+    named.repartition("safe_gb", F.pmod(F.xxhash64(*records.columns), F.lit(FILES_PER_STANDARD))).write.mode("overwrite").partitionBy("safe_gb").json(path)
 
 
 def verdict_sections(verdicts: DataFrame) -> DataFrame:

@@ -174,3 +174,34 @@ def test_plans_hold_no_nested_loops(spark):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "CartesianProduct" not in plan
     assert "WindowGroupLimit" in QR.top_chunks(spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_frequent_words_still_give_hits(spark):
+    from millaudit.operators import retrieval
+
+    chunks = spark.range(2000).selectExpr("cast(id as string) as chunk_id", "'铅 限量' as content")
+    question = spark.createDataFrame([("1", "铅 限量")], "question_id string, question string")
+    assert retrieval.top_chunks(question, chunks, lambda c: retrieval.char_grams(c, 2), 20).count() == 20
+
+
+def test_one_registry_row_and_one_decision_count(spark):
+    from pyspark.sql import functions as F
+
+    from millaudit.operators import review, standards
+
+    registry = spark.createDataFrame(
+        [("GB/T 2001-2016", None, "2016-06-01", "2020-01-01", "已废止", "u"), ("GB 2001-2016", None, "2016-06-01", None, "现行有效", "v")],
+        "code string, publish_date string, implement_date string, abolish_date string, status string, detail_url string",
+    )
+    asked = spark.createDataFrame([("GB 2001-2016", "2021-05-05")], "code string, production_date string")
+    assert [(r.passed, r.status) for r in standards.verdicts(asked, registry).collect()] == [(True, "valid")]
+    rows = spark.createDataFrame([("r", "k")], "report_id string, k string")
+    told = spark.createDataFrame([("r", "k", "pass", 1), ("r", "k", "fail", 2)], "report_id string, key string, decision string, place int")
+    assert [r.decision for r in review.decided(rows, told, F.col("k")).collect()] == ["fail"]
+
+
+def test_all_character_references(spark):
+    from millaudit.functions import html
+
+    rows = spark.createDataFrame([("&#8804;0.5 &deg; &#x3BC;g &Omega; &amp;lt; a&b &nope; &#0; x&",)], "t string")
+    assert rows.select(html.unescaped("t").alias("x")).first().x == "≤0.5 ° μg Ω &lt; a&b &nope; &#0; x&"
