@@ -205,3 +205,15 @@ def test_all_character_references(spark):
 
     rows = spark.createDataFrame([("&#8804;0.5 &deg; &#x3BC;g &Omega; &amp;lt; a&b &nope; &#0; x&",)], "t string")
     assert rows.select(html.unescaped("t").alias("x")).first().x == "≤0.5 ° μg Ω &lt; a&b &nope; &#0; x&"
+
+
+def test_chains_of_several_tables_on_a_page(spark):
+    from millaudit.operators import page_tables
+
+    cells = [(1, p, t, r, [f"{p}{t}{r}"]) for p in (1, 2, 3) for t in (0, 1) for r in (0, 1)]
+    rows = spark.createDataFrame(cells, "doc_id int, page int, table_no int, row_no int, cells array<string>")
+    pairs = spark.createDataFrame([(1, 1, 1, 0), (1, 2, 0, 1)], "doc_id int, page int, table_no int, next_table_no int")
+    got = {}
+    for r in page_tables.chained_tables(rows, pairs).collect():
+        got.setdefault(r.chain_no, set()).add(r.cells[0])
+    assert got == {1: {"100", "101"}, 2: {"110", "111", "201", "311"}, 3: {"210", "211"}, 4: {"300", "301"}}
