@@ -2,8 +2,8 @@
 
 The score is exact lexical containment: the share of a question's distinct grams that a chunk holds. It
 is an equi-join on grams, so no question is compared with a chunk it shares nothing with, and only
-grams that occur in a question leave the chunk side (a semi-join the optimizer turns into a broadcast
-when the questions are small). Ranks are cut per map task before the shuffle.
+grams that occur in a question leave the chunk side. Frequent grams are compared once per distinct set of them,
+not once per question. Ranks are cut per map task before the shuffle.
 """
 
 from __future__ import annotations
@@ -21,11 +21,13 @@ from millaudit.operators.common import first_k
 def food_categories(food, table: dict[str, list[str]] = V.FOOD_CATEGORIES) -> Column:
     """Categories of a food, exact to broad: the longest keyword in the name decides, ties by table order."""
     food = col(food)
-    ordered = sorted(table, key=len, reverse=True)
-    result = F.array(food)
-    for keyword in reversed(ordered):
-        result = F.when(F.contains(food, F.lit(keyword)), F.array(*[F.lit(x) for x in table[keyword]])).otherwise(result)
-    return result
+    first, *others = sorted(table, key=len, reverse=True)
+    holds = lambda keyword: F.contains(food, F.lit(keyword))
+    names = lambda keyword: F.array(*[F.lit(x) for x in table[keyword]])
+    result = F.when(holds(first), names(first))
+    for keyword in others:
+        result = result.when(holds(keyword), names(keyword))
+    return result.otherwise(F.array(food))
 
 
 def food_question(food, kind: str = "inspection", table: dict[str, list[str]] = V.FOOD_CATEGORIES) -> Column:
@@ -84,25 +86,51 @@ def _runs(parts: Column, n: int, glue: str) -> Column:
     return F.array_distinct(let(parts, runs))
 
 
-def scored_chunks(questions: DataFrame, chunks: DataFrame, grams) -> DataFrame:
-    """(question_id, chunk_id, score) of all pairs sharing a gram, however frequent; questions: (question_id, question)."""
-    asked = questions.select("question_id", F.explode(grams("question")).alias("gram"))
-    held = chunks.select("chunk_id", F.explode(grams("content")).alias("gram"))
-    sizes = asked.groupBy("question_id").agg(F.count("*").alias("n_grams"))
-    return (
-        held.join(asked, "gram")
-        .groupBy("question_id", "chunk_id")
-        .agg(F.count("*").alias("shared"))
-        .join(sizes, "question_id")
-        .select("question_id", "chunk_id", (F.col("shared") / F.col("n_grams")).alias("score"))
-    )
+def _question_grams(questions: DataFrame, grams) -> DataFrame:
+    return questions.select("question_id", F.explode(grams("question")).alias("gram"))
 
 
 def top_chunks(
-    questions: DataFrame, chunks: DataFrame, grams, k: int = 30, least: float = 0.0
+    questions: DataFrame, chunks: DataFrame, grams, k: int = 30, least: float = 0.0, hot: int = 1000
 ) -> DataFrame:
-    """Top k chunks per question by score, ties by chunk: (question_id, chunk_id, score, rank)."""
-    scored = scored_chunks(questions, chunks, grams).where(F.col("score") >= least)
+    """Top k chunks per question by score, ties by chunk: (question_id, chunk_id, score, rank).
+
+    questions: (question_id, question). Every gram weighs, however frequent. A gram that more than ``hot`` chunks
+    hold makes no pairs with questions; ``hot`` shapes the plan and never the result. A chunk that shares nothing but
+    such grams with a question ranks as it does for every question with the same set of them, and k chunks before
+    it there are before it here too. So the k best chunks of each distinct set (few, as questions follow
+    templates) and the chunks that share a rarer gram are all that can rank; both are scored on all grams.
+    """
+    asked = _question_grams(questions, grams)
+    held = chunks.select("chunk_id", F.explode(grams("content")).alias("gram")).join(
+        asked.select("gram").distinct(), "gram", "left_semi"
+    )
+    frequent = held.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("gram")
+    sets = asked.join(frequent, "gram").groupBy("question_id").agg(F.array_sort(F.collect_list("gram")).alias("asked_hot"))
+    held_hot = held.join(frequent, "gram")
+    chunk_sets = held_hot.groupBy("chunk_id").agg(F.collect_list("gram").alias("held_hot"))
+    rare = (
+        held.join(asked.join(frequent, "gram", "left_anti"), "gram")
+        .groupBy("question_id", "chunk_id").agg(F.count("*").alias("rare"))
+    )
+    by_set = (
+        sets.select("asked_hot").distinct().withColumn("gram", F.explode("asked_hot")).join(held_hot, "gram")
+        .groupBy("asked_hot", "chunk_id").agg(F.count("*").alias("shared"))
+    )
+    best = first_k(by_set, ["asked_hot"], [F.desc("shared"), F.asc("chunk_id")], k).select("asked_hot", "chunk_id")
+    candidates = (
+        rare.unionByName(best.join(sets, "asked_hot").select("question_id", "chunk_id", F.lit(0).cast("long").alias("rare")))
+        .groupBy("question_id", "chunk_id").agg(F.max("rare").alias("rare"))
+    )
+    both = F.coalesce(F.size(F.array_intersect("asked_hot", "held_hot")), F.lit(0))
+    sizes = asked.groupBy("question_id").agg(F.count("*").alias("n_grams"))
+    scored = (
+        candidates.join(sets, "question_id", "left").join(chunk_sets, "chunk_id", "left")
+        .withColumn("shared", F.col("rare") + F.when(F.col("asked_hot").isNotNull() & F.col("held_hot").isNotNull(), both).otherwise(0))
+        .join(sizes, "question_id")
+        .select("question_id", "chunk_id", (F.col("shared") / F.col("n_grams")).alias("score"))
+        .where(F.col("score") >= least)
+    )
     return first_k(scored, ["question_id"], [F.desc("score"), F.asc("chunk_id")], k)
 
 
@@ -122,22 +150,22 @@ def with_chunks(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     return hits.join(chunks, "chunk_id")
 
 
-def nearest_chunks(questions: DataFrame, chunks: DataFrame, k: int, block: int = 4096, salts: int = 0) -> DataFrame:
+def nearest_chunks(questions: DataFrame, chunks: DataFrame, k: int, blocks: int = 16, groups: int = 64, tile: int = 1024) -> DataFrame:
     """Exact top k by cosine: questions (question_id, vector) against chunks (chunk_id, vector).
 
-    Questions are cut into blocks of about ``block`` vectors and chunks into salted groups; each pair of
-    groups is one matrix product in a task that sends on only k rows per question, so neither side is
-    broadcast or held whole and no pair table is ever built.
+    Questions are cut into ``blocks`` and chunks into ``groups`` by hash; each pair of them meets in a task, which
+    multiplies tiles of ``tile`` vectors and sends on k rows per question, so neither side is broadcast or held whole,
+    no pair table is built and a score matrix never exceeds tile x tile. Both counts are parameters: let a block and a
+    group fit a task.
     """
     import numpy as np
     import pandas as pd
 
-    n_blocks = max(1, -(-questions.count() // block))
-    n_salts = salts or max(8, -(-chunks.count() // (16 * block)))
-    spread = F.array(*[F.lit(i) for i in range(n_salts)]) if n_salts <= 64 else F.sequence(F.lit(0), F.lit(n_salts - 1))
-    q = questions.withColumn("b", F.pmod(F.xxhash64("question_id"), F.lit(n_blocks)).cast("int")).withColumn("s", F.explode(spread))
-    c = chunks.withColumn("s", F.pmod(F.xxhash64("chunk_id"), F.lit(n_salts)).cast("int")).withColumn(
-        "b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
+    q = questions.withColumn("b", F.pmod(F.xxhash64("question_id"), F.lit(blocks)).cast("int")).withColumn(
+        "s", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    )
+    c = chunks.withColumn("s", F.pmod(F.xxhash64("chunk_id"), F.lit(groups)).cast("int")).withColumn(
+        "b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     )
     q_type, c_type = questions.schema["question_id"].dataType, chunks.schema["chunk_id"].dataType
 
@@ -145,16 +173,30 @@ def nearest_chunks(questions: DataFrame, chunks: DataFrame, k: int, block: int =
         m = np.array(vectors.tolist(), dtype=np.float64)
         return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
+    def best_of(scores, ids):
+        """Places of the k best, ties to smaller ids: all at least as good as the k-th, then sorted."""
+        places = np.arange(len(ids))
+        if len(ids) > k:
+            places = np.flatnonzero(scores >= np.partition(scores, len(ids) - k)[len(ids) - k])
+        return places[np.lexsort((ids[places], -scores[places]))[:k]]
+
     def product(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"question_id": [], "chunk_id": [], "score": []})
         if left.empty or right.empty:
-            return pd.DataFrame({"question_id": [], "chunk_id": [], "score": []})
-        ids = right["chunk_id"].to_numpy()
-        scores = np.round(unit(left["vector"]) @ unit(right["vector"]).T, 9)
-        out = []
-        for question, row in zip(left["question_id"], scores):
-            best = np.lexsort((ids, -row))[:k]
-            out.append(pd.DataFrame({"question_id": question, "chunk_id": ids[best], "score": row[best]}))
-        return pd.concat(out, ignore_index=True)
+            return none
+        asked, names, held = unit(left["vector"]), left["question_id"].to_numpy(), right["chunk_id"].to_numpy()
+        best = [(np.empty(0), held[:0])] * len(names)
+        for start in range(0, len(held), tile):
+            ids, vectors = held[start:start + tile], unit(right["vector"].iloc[start:start + tile])
+            for low in range(0, len(names), tile):
+                for i, row in enumerate(np.round(asked[low:low + tile] @ vectors.T, 9), low):
+                    scores, found = np.concatenate([best[i][0], row]), np.concatenate([best[i][1], ids])
+                    few = best_of(scores, found)
+                    best[i] = scores[few], found[few]
+        return pd.DataFrame({
+            "question_id": np.repeat(names, [len(x[0]) for x in best]), "chunk_id": np.concatenate([x[1] for x in best]),
+            "score": np.concatenate([x[0] for x in best]),
+        })
 
     schema = f"question_id {q_type.simpleString()}, chunk_id {c_type.simpleString()}, score double"
     local = (

@@ -136,7 +136,8 @@ def extra_items(spark, sf):
     return matching.extra_items(last_reported(spark, sf), pairs(spark, sf)).drop("pos")
 
 
-@query("j4_synonym_items", f"WITH {MATCHED} SELECT o.report_id, o.name, e.item FROM open_rule o JOIN extra e ON e.report_id = o.report_id JOIN pair p ON p.category = o.category AND p.item_name = o.name AND p.report_name = e.item WHERE o.kind = 'missing'")
+@query("j4_synonym_items", f"""WITH {MATCHED}, x AS MATERIALIZED (SELECT e.report_id, e.item, p.item_name FROM extra e JOIN pair p ON p.category = e.category AND p.report_name = e.item)
+  SELECT o.report_id, o.name, x.item FROM x JOIN open_rule o ON o.report_id = x.report_id AND o.name = x.item_name WHERE o.kind = 'missing'""")
 def synonym_items(spark, sf):
     """Missing items matched by extra ones: empty by construction."""
     found, known = matched(spark, sf), pairs(spark, sf)
@@ -296,11 +297,12 @@ def last_items(spark, sf):
     return last_reported(spark, sf).select("report_id", "category", "item", "value", "method", F.col("pos.part").alias("first_part"))
 
 
-@query("u3_evidence_fillers", f"""WITH {MATCHED} SELECT report_id, name AS item, report_name, required_basis, CASE WHEN rule_pos % 3 = 0 THEN report_standard ELSE '未查到' END AS standard_value, CASE WHEN rule_pos % 3 = 0 THEN report_unit ELSE '–' END AS standard_unit FROM matched""")
+@query("u3_evidence_fillers", f"""WITH {MATCHED} SELECT report_id, name AS item, report_name, required_basis, CASE WHEN cited THEN report_standard ELSE '未查到' END AS standard_value, CASE WHEN cited THEN report_unit ELSE '–' END AS standard_unit FROM (SELECT *, EXISTS (SELECT 1 FROM d_cited c WHERE c.report_id = matched.report_id AND starts_with(c.code, matched.required_basis || '-')) AND required_basis <> '' AS cited FROM matched)""")
 def evidence_fillers(spark, sf):
-    """One evidence row per matched item; those without evidence say not found."""
+    """One evidence row per matched item; those whose basis the report does not cite have none and say not found."""
     found = matched(spark, sf)
-    evidence = found.where("rule_pos % 3 = 0").select(
+    codes_ = derived(spark, sf, "d_cited").select("report_id", F.regexp_extract("code", "^(.*)-", 1).alias("required_basis")).distinct()
+    evidence = found.where("required_basis <> ''").join(codes_, ["report_id", "required_basis"], "left_semi").select(
         "report_id", F.col("name").alias("item"), F.col("report_standard").alias("standard_value"), F.col("report_unit").alias("standard_unit")
     )
     return compliance.with_fillers(found, evidence)

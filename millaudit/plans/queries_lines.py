@@ -65,11 +65,13 @@ def report_lines(spark, sf):
 
 @query("s3_report_cells", """WITH r AS (SELECT report_id, food_name, production_date AS d FROM d_report),
   c AS (SELECT report_id, 0 AS table_no, 0 AS row_no, 0 AS col_no, '编号' AS cell FROM r UNION ALL SELECT report_id, 0, 0, 1, '样品名称' FROM r UNION ALL SELECT report_id, 0, 0, 2, CASE WHEN report_id % 5 = 4 THEN '到货' ELSE '生产/加工日期' END FROM r
-   UNION ALL SELECT report_id, 0, 1, 0, '1' FROM r UNION ALL SELECT report_id, 0, 1, 1, food_name FROM r UNION ALL SELECT report_id, 0, 1, 2, CASE WHEN report_id % 5 = 4 THEN '-' ELSE d END FROM r)
-  SELECT * FROM c""")
+   UNION ALL SELECT report_id, 0, 1, 0, '1' FROM r UNION ALL SELECT report_id, 0, 1, 1, food_name FROM r UNION ALL SELECT report_id, 0, 1, 2, CASE WHEN report_id % 5 = 4 THEN '-' ELSE d END FROM r),
+  m AS (SELECT r.report_id AS o, x.* FROM d_report r JOIN (VALUES (0, 0, '序号'), (0, 1, '检验项目'), (0, 2, '计量单位'), (0, 3, '标准要求'), (0, 4, '实测值'), (0, 5, '单项判定'), (0, 6, '检验方法'), (1, 0, '1'), (1, 1, '维生素K' || chr(10) || '?3'), (1, 2, 'mg/kg'), (1, 3, '≤5'), (1, 4, '?9'), (1, 5, '合格'), (1, 6, 'GB 5009.158' || chr(10) || '第一法'),
+    (2, 0, '2'), (2, 1, '硝酸盐(以NaNO 计)' || chr(10) || '3'), (2, 2, NULL), (2, 3, '≤200'), (2, 4, '未检出'), (2, 5, '合格'), (2, 6, ''), (3, 0, '3'), (3, 1, '维生素K' || chr(10) || '?3'), (3, 2, 'g'), (3, 3, '≤6'), (3, 4, '?2'), (3, 5, '合格'), (3, 6, 'GB 1'), (4, 0, '4'), (4, 1, ''), (4, 2, 'mg'), (4, 3, ''), (4, 4, ''), (4, 5, ''), (4, 6, 'x')) AS x(row_no, col_no, cell) ON true)
+  SELECT * FROM c UNION ALL SELECT o, 1, row_no, col_no, replace(replace(replace(cell, '?3', CAST(o % 3 AS VARCHAR)), '?9', CAST(o % 9 AS VARCHAR)), '?2', CAST(o % 2 AS VARCHAR)) FROM m""")
 def report_cells(spark, sf):
-    """Cells of the first table of each report."""
-    return lines.report_cells(report_pages(spark, sf)).where("table_no = 0").drop("page")
+    """Cells of all tables of each report."""
+    return lines.report_cells(report_pages(spark, sf)).drop("page")
 
 
 _TRIGGER, _BASIS, _CODE = ["que ", "the "], ["en,", "in,", "an."], "[A-Z][a-z]{5,}"
@@ -141,7 +143,7 @@ def inspection_items(spark, sf):
     return lines.inspection_items(report_pages(spark, sf)).select("report_id", "item", "value", "unit", "standard", "method")
 
 
-@query("p1_field_issues", """WITH s AS (SELECT r.report_id, r.food_name, CASE WHEN r.report_id % 4 = 3 THEN '' ELSE r.production_date END AS d, (SELECT count(*) FROM d_cited c WHERE c.report_id = r.report_id AND c.pos % 2 = 0) AS nc, (SELECT count(*) FROM d_item i WHERE i.report_id = r.report_id) AS ni FROM d_report r)
+@query("p1_field_issues", """WITH s AS (SELECT r.report_id, r.food_name, CASE WHEN r.report_id % 4 = 3 THEN '' ELSE r.production_date END AS d, (SELECT count(*) FROM d_cited c WHERE c.report_id = r.report_id) AS nc, (SELECT count(*) FROM d_item i WHERE i.report_id = r.report_id) AS ni FROM d_report r)
   SELECT report_id, '缺少食品名称' AS issue FROM s WHERE food_name = '' UNION ALL SELECT report_id, '缺少生产日期' FROM s WHERE d = '' UNION ALL SELECT report_id, '缺少国标号' FROM s WHERE nc = 0 UNION ALL SELECT report_id, '未检测到检验项目表格' FROM s WHERE ni = 0""")
 def field_issues(spark, sf):
     """Missing required fields of all reports."""
@@ -149,7 +151,7 @@ def field_issues(spark, sf):
 
 
 def _summary(spark, sf):
-    n_codes = derived(spark, sf, "d_cited").where("pos % 2 = 0").groupBy("report_id").agg(F.count("*").alias("n_codes"))
+    n_codes = derived(spark, sf, "d_cited").groupBy("report_id").agg(F.count("*").alias("n_codes"))
     n_items = derived(spark, sf, "d_item").groupBy("report_id").agg(F.count("*").alias("n_items"))
     dated = F.when(F.col("report_id") % 4 == 3, "").otherwise(F.col("production_date"))
     return (
@@ -158,7 +160,7 @@ def _summary(spark, sf):
     )
 
 
-@query("p24_gates", """WITH s AS (SELECT r.report_id, r.food_name, CASE WHEN r.report_id % 4 = 3 THEN '' ELSE r.production_date END AS d, (SELECT count(*) FROM d_cited c WHERE c.report_id = r.report_id AND c.pos % 2 = 0) AS nc, (SELECT count(*) FROM d_item i WHERE i.report_id = r.report_id) AS ni FROM d_report r)
+@query("p24_gates", """WITH s AS (SELECT r.report_id, r.food_name, CASE WHEN r.report_id % 4 = 3 THEN '' ELSE r.production_date END AS d, (SELECT count(*) FROM d_cited c WHERE c.report_id = r.report_id) AS nc, (SELECT count(*) FROM d_item i WHERE i.report_id = r.report_id) AS ni FROM d_report r)
   SELECT report_id, d <> '' AND nc > 0 AS run_standards, food_name <> '' AND ni > 0 AS run_compliance FROM s""")
 def gates(spark, sf):
     return compliance.gated(_summary(spark, sf)).select("report_id", "run_standards", "run_compliance")

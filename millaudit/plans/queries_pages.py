@@ -224,11 +224,11 @@ def boxes_in_cells(spark, sf):
 
 
 @query("w15_cell_texts", f"""WITH {_BOXES}, c AS (SELECT DISTINCT doc_id, page, unnest([0, 1, 2]) AS cell_id FROM b),
-  f AS (SELECT doc_id, page, cell_id, x, y, text, CAST(floor((y - cell_id * 3600) / 1000) AS BIGINT) AS part FROM b JOIN c USING (doc_id, page) WHERE (x + (x + 10)) / 2 BETWEEN 0 AND 60 AND (y + (y + 4)) / 2 BETWEEN cell_id * 3600 AND cell_id * 3600 + 3000)
+  f AS (SELECT doc_id, page, cell_id, x, y, text, (row_number() OVER (PARTITION BY doc_id, page, cell_id ORDER BY y, x, text) - 1) // 3 AS part FROM b JOIN c USING (doc_id, page) WHERE (x + (x + 10)) / 2 BETWEEN 0 AND 60 AND (y + (y + 4)) / 2 BETWEEN cell_id * 3600 AND cell_id * 3600 + 3000)
   SELECT doc_id, page, cell_id, part, count(*) AS line_count, string_agg(text, chr(10) ORDER BY y, x, text) AS text FROM f GROUP BY 1, 2, 3, 4""")
 def cell_texts(spark, sf):
     """Lines of each cell from top to bottom."""
-    return P.cell_text_lines(_found(spark, sf))
+    return P.cell_text_lines(_found(spark, sf), part=3)
 
 
 # --- page tables --------------------------------------------------------------------------------
@@ -260,10 +260,22 @@ def width_pairs(spark, sf):
     return P.cross_page_pairs(page_headers(spark, sf), 0.0).select("doc_id", "page", F.col("width").cast("long").alias("width"))
 
 
-@query("j17_f50_similar_pairs")
+def _ratio(a: str, b: str) -> str:
+    """Edit ratio in SQL: characters are renumbered per pair, since the function there compares bytes."""
+    known = f"list_distinct(string_split({a} || {b}, ''))"
+    short = lambda c: f"array_to_string(list_transform(string_split({c}, ''), lambda x: chr(CAST(list_position({known}, x) AS INTEGER))), '')"
+    return f"1 - levenshtein({short(a)}, {short(b)}) / greatest(length({a}), length({b}))"
+
+
+_CELLS = """c AS (SELECT a.doc_id, a.page, a.width, b.width AS next_width, unnest(a.header[1:least(a.width, b.width)]) AS a, unnest(b.header[1:least(a.width, b.width)]) AS b FROM h a JOIN h b ON a.doc_id = b.doc_id AND b.page = a.page + 1)"""
+
+
+@query("j17_f50_similar_pairs", f"""WITH {_ROWS}, {_CELLS}, s AS (SELECT doc_id, page, width, avg({_ratio('a', 'b')}) AS similarity FROM c WHERE width = next_width GROUP BY 1, 2, 3)
+  SELECT doc_id, page, width, 0 AS table_no, 0 AS next_table_no, round(similarity, 6) AS similarity FROM s WHERE similarity >= 0.15""")
 def similar_pairs(spark, sf):
-    """Tables whose headers are similar by matching blocks."""
-    return P.cross_page_pairs(page_headers(spark, sf), 0.4)
+    """Tables whose header cells are similar by edit distance."""
+    pairs = P.cross_page_pairs(page_headers(spark, sf), 0.15)
+    return pairs.select("doc_id", "page", "width", "table_no", "next_table_no", F.round("similarity", 6).alias("similarity"))
 
 
 @query("a14_equal_headers", f"WITH {_ROWS} SELECT doc_id, page, 1.0 AS similarity FROM p WHERE same")
@@ -272,15 +284,13 @@ def equal_headers(spark, sf):
     return P.cross_page_pairs(page_headers(spark, sf), 1.0).select("doc_id", "page", "similarity")
 
 
-@query("f50_edit_ratio", f"""WITH {_ROWS}, t AS (SELECT DISTINCT a.header[1] AS a, b.header[1] AS b FROM h a JOIN h b ON a.doc_id = b.doc_id AND b.page = a.page + 1)
-  SELECT a, b, regexp_matches(a, '^[ -~]*$') AND regexp_matches(b, '^[ -~]*$') AS plain, CASE WHEN regexp_matches(a, '^[ -~]*$') AND regexp_matches(b, '^[ -~]*$') THEN round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 6) END AS ratio FROM t""")
+@query("f50_edit_ratio", f"""WITH {_ROWS}, {_CELLS}, t AS (SELECT DISTINCT a, b FROM c) SELECT a, b, round({_ratio('a', 'b')}, 6) AS ratio FROM t""")
 def edit_ratio(spark, sf):
-    """Native edit ratio of the first header cells of neighbouring pages (ASCII ones are checked)."""
-    head = page_headers(spark, sf).where(F.size("header") > 0).select("doc_id", "page", F.get("header", F.lit(0)).alias("a"))
-    nxt = head.select("doc_id", (F.col("page") - 1).alias("page"), F.col("a").alias("b"))
-    pairs = head.join(nxt, ["doc_id", "page"]).select("a", "b").distinct()
-    plain = F.col("a").rlike("^[ -~]*$") & F.col("b").rlike("^[ -~]*$")
-    return pairs.select("a", "b", plain.alias("plain"), F.when(plain, F.round(P.edit_ratio(F.col("a"), F.col("b")), 6)).alias("ratio"))
+    """Edit ratio of the header cells at equal places of neighbouring pages, in any script."""
+    head = page_headers(spark, sf).where(F.size("header") > 0).select("doc_id", "page", F.posexplode("header").alias("at", "a"))
+    nxt = head.select("doc_id", (F.col("page") - 1).alias("page"), "at", F.col("a").alias("b"))
+    pairs = head.join(nxt, ["doc_id", "page", "at"]).select("a", "b").distinct()
+    return pairs.select("a", "b", F.round(P.edit_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
 
 
 @query("w7_merged_pairs", f"""WITH {_ROWS} SELECT p.doc_id, p.page AS first_page, r.page AS source_page, r.row_no, array_to_string(r.cells, '|') AS cells FROM p JOIN r ON r.doc_id = p.doc_id AND (r.page = p.page OR (r.page = p.page + 1 AND r.row_no > 0))""")
@@ -336,7 +346,16 @@ def keyword_rows(spark, sf):
     return P.rows_with_keyword(page_rows(spark, sf), ["e", "a"])
 
 
-@query("p6_section_rows")
+@query("p6_section_rows", """WITH RECURSIVE l AS (SELECT source AS doc_id, doc_id AS table_no, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS row_no FROM documents),
+  w AS (SELECT doc_id, table_no, row_no, list_filter(string_split(trim(line, ' ' || chr(9) || chr(13)), ' '), lambda x: x <> '') AS cells FROM l),
+  n AS (SELECT doc_id, table_no, row_no, cells[1] AS name, coalesce(cells[2], '') AS value FROM w WHERE len(cells) > 0),
+  t AS (SELECT doc_id, table_no, min(row_no) FILTER (name = 'The') AS opens, min(row_no) FILTER (name IN ('La', 'Les', 'Die', 'Der', 'Los', 'In', 'And', 'En', 'Is')) AS other FROM n GROUP BY 1, 2),
+  c AS (SELECT doc_id, table_no, min(row_no) AS closes FROM t JOIN n USING (doc_id, table_no) WHERE name IN ('La', 'Les', 'Die', 'Der', 'Los', 'In', 'And', 'En', 'Is') AND row_no > opens GROUP BY 1, 2),
+  s AS (SELECT t.*, closes, row_number() OVER (PARTITION BY doc_id ORDER BY table_no) AS k FROM t LEFT JOIN c USING (doc_id, table_no)),
+  r AS (SELECT doc_id, k, false AS is_open FROM s WHERE k = 1 UNION ALL SELECT s.doc_id, s.k + 1, CASE WHEN is_open THEN other IS NULL ELSE opens IS NOT NULL AND closes IS NULL END FROM r JOIN s ON s.doc_id = r.doc_id AND s.k = r.k)
+  SELECT doc_id, name, arg_max(value, {'t': table_no, 'r': row_no}) AS value FROM n JOIN s USING (doc_id, table_no) JOIN r USING (doc_id, k)
+  WHERE CASE WHEN is_open THEN other IS NULL OR row_no < other ELSE row_no > opens AND (closes IS NULL OR row_no < closes) END
+    AND name <> 'The' AND value <> '' AND (contains(name, 'a') OR contains(name, 'e')) AND length(name) <= 10 GROUP BY 1, 2""")
 def section_rows(spark, sf):
     """Rows inside a section that opens and closes at headings, over all document lines of a source."""
     words = F.filter(F.split(T.strip("line"), " "), lambda w: w != "")

@@ -106,11 +106,11 @@ def _choices(spark, sf):
 
 
 @query("j15_value_table", _EVIDENCE + """, d AS (SELECT *, CASE (report_id + length(item)) % 5 WHEN 0 THEN 'compliant' WHEN 1 THEN 'exceeded' WHEN 2 THEN 'unit_mismatch' END AS choice FROM j)
-  SELECT report_id, item, choice, CASE choice WHEN 'compliant' THEN '合规' WHEN 'exceeded' THEN '指标超标' WHEN 'unit_mismatch' THEN '单位不符' END AS badge FROM d WHERE choice IS NOT NULL""")
+  SELECT report_id, item, choice, CASE choice WHEN 'compliant' THEN '合规' WHEN 'exceeded' THEN '指标超标' WHEN 'unit_mismatch' THEN '单位不符' END AS badge FROM d""")
 def value_table(spark, sf):
-    """Rows of the value table a person decided."""
+    """Every row of the value table with its decision and that decision's badge, if any."""
     rows = review.value_table(_evidence(spark, sf), _plain_items(spark, sf), _choices(spark, sf))
-    return rows.where("choice IS NOT NULL").select("report_id", "item", "choice", "badge")
+    return rows.select("report_id", "item", "choice", F.when(F.col("choice").isNotNull(), F.col("badge")).alias("badge"))
 
 
 @query("e8_value_table")
@@ -121,7 +121,7 @@ def whole_value_table(spark, sf):
 
 
 _MODULES = """WITH v AS (SELECT report_id, bool_or(CASE WHEN part % 3 = 0 THEN supp % 2 = 0 ELSE part % 5 = 0 END) AS red, bool_or(part % 3 <> 0 AND part % 5 = 1) AS yellow FROM d_item GROUP BY 1),
-  l AS (SELECT report_id, bool_or(pos % 3 = 0) AS info FROM d_cited WHERE pos % 2 = 0 GROUP BY 1),
+  l AS (SELECT report_id, bool_or(pos % 3 = 0) AS info FROM d_cited GROUP BY 1),
   s AS (SELECT report_id, count(*) FILTER (part % 11 = 0) AS miss, count(*) FILTER (part % 13 = 0) AS rej, count(*) FILTER (part % 4 = 0) AS opn FROM d_item GROUP BY 1),
   j AS (SELECT r.report_id, red, yellow, info, coalesce(miss, 0) AS miss, coalesce(rej, 0) AS rej, coalesce(opn, 0) AS opn, CASE r.report_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS ap FROM d_report r LEFT JOIN v USING (report_id) LEFT JOIN l USING (report_id) LEFT JOIN s USING (report_id)),
   m AS (SELECT report_id, 1 AS module_no, CASE WHEN miss > 0 OR rej > 0 THEN 'failed' WHEN opn > 0 THEN 'pending_review' ELSE 'passed' END AS status FROM j UNION ALL SELECT report_id, 2, CASE WHEN ap THEN 'passed' WHEN NOT ap THEN 'failed' ELSE 'unknown' END FROM j
@@ -136,7 +136,7 @@ def _modules(spark, sf):
         "report_id", F.when(part % 3 == 0, F.when(F.col("supp") % 2 == 0, "exceeded").otherwise("compliant")).alias("choice"),
         F.when(part % 5 == 0, "standard_mismatch").when(part % 5 == 1, "missing_unit").otherwise("compliant").alias("row_class"),
     )
-    tags = derived(spark, sf, "d_cited").where("pos % 2 = 0").select(
+    tags = derived(spark, sf, "d_cited").select(
         "report_id", F.when(F.col("pos") % 3 == 0, "纯牛奶").alias("product_type"), F.lit("").alias("standard_code")
     )
     summary = i.groupBy("report_id").agg(F.count_if(part % 11 == 0).alias("n_missing"), F.count_if(part % 13 == 0).alias("n_rejected"), F.count_if(part % 4 == 0).alias("n_open"))
@@ -178,11 +178,11 @@ def verdict_codes(spark, sf):
     return review.basis_verdict_codes(evidence, derived(spark, sf, "d_cited").select("report_id", "pos", "code"))
 
 
-@query("j23_labels_by_report", "SELECT report_id, CAST(floor(pos / 10) AS BIGINT) AS part, string_agg(code, ',' ORDER BY pos) AS codes FROM d_cited GROUP BY 1, 2")
+@query("j23_labels_by_report", "WITH n AS (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY pos) AS no FROM d_cited) SELECT report_id, (no - 1) // 2 AS part, string_agg(code, ',' ORDER BY pos) AS codes FROM n GROUP BY 1, 2")
 def labels_by_report(spark, sf):
     """Labels of a report in bounded parts."""
     tags = derived(spark, sf, "d_cited").select("report_id", "pos", "code")
-    rows = review.labels_by_report(tags, 10)
+    rows = review.labels_by_report(tags, 2)
     return rows.select("report_id", "part", F.array_join(F.transform("labels", lambda x: x["code"]), ",").alias("codes"))
 
 

@@ -110,22 +110,24 @@ def footnotes(spark, sf):
     return rule_tables.footnotes(rule_chunks(spark, sf))
 
 
-@query("w11_visible_footnotes", """WITH c AS (SELECT p_type AS t, p_brand AS b, p_partkey AS k, p_size, row_number() OVER (PARTITION BY p_type, p_brand ORDER BY p_partkey) AS chunk_rank, 'abcdefgh'[CAST(1 + p_partkey % 4 AS INT)] AS own FROM part),
-   top AS (SELECT * FROM c WHERE chunk_rank <= 8),
-   d AS (SELECT t, b, chunk_rank, own AS letter, '定义' || CAST(k AS VARCHAR) AS text FROM top),
-   v AS (SELECT x.t, x.b, x.chunk_rank, x.k, arg_max(d.text, d.chunk_rank) AS text FROM top x JOIN d ON d.t = x.t AND d.b = x.b AND d.chunk_rank <= x.chunk_rank AND d.letter = 'b' GROUP BY ALL)
-   SELECT top.t || '/' || top.b AS question_id, top.chunk_rank, '指标项' || CAST(top.k AS VARCHAR) AS item_name, coalesce(v.text, '') AS condition FROM top LEFT JOIN v USING (t, b, chunk_rank)""")
+@query("w11_visible_footnotes", """WITH c AS (SELECT p_type AS t, p_brand AS b, p_partkey AS k, p_size, row_number() OVER (PARTITION BY p_type, p_brand ORDER BY p_partkey) - 1 AS place, place // 8 AS g, place % 8 + 1 AS chunk_rank, 'abcdefgh'[CAST(1 + p_partkey % 4 AS INT)] AS own FROM part),
+   top AS (SELECT * FROM c),
+   d AS (SELECT t, b, g, chunk_rank, own AS letter, '定义' || CAST(k AS VARCHAR) AS text FROM top),
+   v AS (SELECT x.t, x.b, x.g, x.chunk_rank, x.k, arg_max(d.text, d.chunk_rank) AS text FROM top x JOIN d ON d.t = x.t AND d.b = x.b AND d.g = x.g AND d.chunk_rank <= x.chunk_rank AND d.letter = 'b' GROUP BY ALL)
+   SELECT top.t || '/' || top.b || '/' || CAST(top.g AS VARCHAR) AS question_id, top.chunk_rank, '指标项' || CAST(top.k AS VARCHAR) AS item_name, coalesce(v.text, '') AS condition FROM top LEFT JOIN v USING (t, b, g, chunk_rank)""")
 def visible_footnotes(spark, sf):
-    """Footnotes over the chunks of a question: later definitions win, earlier chunks do not see them."""
-    from millaudit.operators.common import first_k
+    """Footnotes over the chunks of a question (eight each): later definitions win, earlier chunks do not see them."""
+    from millaudit.operators.common import block_positions
 
     k = F.col("p_partkey").cast("string")
     letter = F.substring(F.lit("abcdefgh"), (1 + F.col("p_partkey") % 4).cast("int"), F.lit(1))
     content = F.concat(
         F.lit("<table><tr><th>检验项目</th></tr><tr><td>指标项"), k, F.lit("b</td></tr><tr><td>"), letter, F.lit(". 定义"), k, F.lit("</td></tr></table>"),
     )
-    parts = first_k(table(spark, sf, "part"), ["p_type", "p_brand"], [F.asc("p_partkey")], 8)
-    chunks = parts.select(F.concat_ws("/", "p_type", "p_brand").alias("question_id"), F.col("rank").alias("chunk_rank"), content.alias("content"))
+    blocks = table(spark, sf, "part").withColumn("block", F.floor(F.col("p_partkey") / 50_000))
+    parts = block_positions(blocks, ["p_type", "p_brand"], ["block"], ["p_partkey"], "rank")
+    chunks = parts.select(F.concat_ws("/", "p_type", "p_brand", F.floor((F.col("rank") - 1) / 8).cast("string")).alias("question_id"),
+        (1 + (F.col("rank") - 1) % 8).cast("int").alias("chunk_rank"), content.alias("content"))
     return rule_tables.question_items(chunks).select("question_id", "chunk_rank", "item_name", "condition")
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from millaudit.operators import lines, standards
 from millaudit.plans import queries_lines as QL, queries_standards as QS
 from millaudit.plans.derived import derived
 from millaudit.plans.registry import query
+from millaudit.plans.sql_parts import standard_number
 from millaudit.session import table, work_folder
 from millaudit.sources import reports, sinks
 from millaudit.sources.store import VerdictStore
@@ -69,10 +70,14 @@ def catalogue_search(spark, sf):
     return reports.searched(_catalogue(spark, sf), "FR_1")
 
 
-@query("s5_file_manifest")
+@query("s5_file_manifest", "SELECT source AS tab, CAST(sum(strlen(text) + 1) AS BIGINT) AS length FROM documents GROUP BY 1")
 def file_manifest(spark, sf):
-    """Catalogue of the files the given tables are stored in; contents are not read."""
-    return reports.catalogue(reports.file_manifest(spark, sf, "rules"))
+    """Documents written as text files, one folder per source; the manifest of those files, contents never read."""
+    path = work_folder(spark, "files")
+    texts = table(spark, sf, "documents").select("source", "text")
+    texts.write.option("compression", "none").partitionBy("source").format("text").save(path)
+    files = reports.file_manifest(spark, path, "rules").where("path LIKE '%.txt'")
+    return files.groupBy(F.regexp_extract("path", "source=([^/]*)/", 1).alias("tab")).agg(F.sum("length").alias("length"))
 
 
 @query("s7_labelled_lines", """SELECT l_orderkey AS o, l_partkey AS p, CASE WHEN l_suppkey % 4 <> 0 THEN CAST(l_partkey AS VARCHAR) || '-2021' END AS gb_number, CASE WHEN l_suppkey % 4 <> 0 THEN '2021-5-' || CAST(1 + l_suppkey % 28 AS VARCHAR) END AS production_date, l_suppkey % 4 = 0 AS failed FROM lineitem""")
@@ -143,27 +148,32 @@ def verdict_store(spark, sf):
     return store.read()
 
 
-@query("s12_verdict_sections", f"""WITH {QS._JUDGED.replace('FROM d_cited c JOIN d_report r USING (report_id)', 'FROM q')}, h AS (SELECT DISTINCT report_id, production_date FROM q)
-  SELECT report_id AS request_id, 0 AS section, '食品名称：食品' AS head FROM h UNION ALL SELECT report_id, 1, '【1/1】校验国标：' || code || ' (GB ' || regexp_replace(regexp_replace(code, '^GB(/T)?\\s*', ''), '\\s*-\\s*', '-') || ')' FROM q""".replace("WITH \na AS (SELECT DISTINCT c.code, r.production_date FROM q)", "WITH q AS (SELECT c.report_id, min(c.code) AS code, min(r.production_date) AS production_date FROM d_cited c JOIN d_report r USING (report_id) GROUP BY 1),\na AS (SELECT DISTINCT code, production_date FROM q)"))
+@query("s12_verdict_sections", f"""WITH q AS (SELECT c.report_id, c.code, r.production_date, row_number() OVER (PARTITION BY c.report_id ORDER BY c.pos) AS no, count(*) OVER (PARTITION BY c.report_id) AS n FROM d_cited c JOIN d_report r USING (report_id))
+  SELECT '食品名称：食品' || CAST(report_id AS VARCHAR) AS head, count(*) AS n FROM q WHERE no = 1 GROUP BY 1 UNION ALL SELECT '【' || CAST(no AS VARCHAR) || '/' || CAST(n AS VARCHAR) || '】校验国标：' || code || ' (GB ' || {standard_number('code')} || ')', count(*) FROM q GROUP BY 1""")
 def verdict_sections(spark, sf):
-    """Text report of the first code of each report: head and numbered section, written and read back."""
-    first = QS._cited_with_dates(spark, sf).groupBy("report_id").agg(F.min("code").alias("code"), F.min("production_date").alias("production_date"))
-    judged = standards.verdicts(first, derived(spark, sf, "d_standard"))
-    rows = first.join(judged, ["code", "production_date"]).select(
-        F.col("report_id").alias("request_id"), F.lit("食品").alias("food_name"), F.lit(0).alias("pos"), F.lit(1).alias("n_codes"), "code", "production_date",
+    """Text report of every report's codes, written and read back: its head lines and numbered section titles."""
+    path = work_folder(spark, "verdict-text")
+    cited = QS._cited_with_dates(spark, sf)
+    judged = standards.verdicts(cited.select("code", "production_date").distinct(), derived(spark, sf, "d_standard"))
+    by_report = Window.partitionBy("report_id")
+    # A report cites few standards, so one report is one small window.
+    rows = cited.join(judged, ["code", "production_date"]).select(
+        F.col("report_id").alias("request_id"), F.concat(F.lit("食品"), F.col("report_id").cast("string")).alias("food_name"),
+        (F.row_number().over(by_report.orderBy("pos")) - 1).alias("pos"), F.count("*").over(by_report).alias("n_codes"), "code", "production_date",
         *standards.VERDICT_FIELDS,
     )
-    sections = sinks.verdict_sections(rows)
-    return sections.select("request_id", "section", F.get(F.split("text", "\n"), F.lit(0)).alias("head"))
+    sinks.write_verdict_text(sinks.verdict_sections(rows), path)
+    lines_ = spark.read.text(path).where("value LIKE '食品名称：%' OR value LIKE '【%'")
+    return lines_.groupBy(F.col("value").alias("head")).agg(F.count("*").alias("n"))
 
 
-@query("s13_result_json", "SELECT report_id, CAST(floor(part / 1000) AS BIGINT) AS part, count(*) AS n, min(item) AS first_item FROM d_item GROUP BY 1, 2")
+@query("s13_result_json", "WITH n AS (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY part, item, value) AS no FROM d_item) SELECT report_id, (no - 1) // 3 AS part, count(*) AS n, min(item) AS first_item FROM n GROUP BY 1, 2")
 def result_json(spark, sf):
     """Result lists as JSON in bounded parts, read back."""
     path = work_folder(spark, "results")
     items = derived(spark, sf, "d_item").select("report_id", F.col("part").alias("pos"), "item", "value")
     summary = derived(spark, sf, "d_report").select("report_id", "food_name")
-    sinks.write_results(summary, {"items": items}, path)
+    sinks.write_results(summary, {"items": items}, path, 3)
     back = spark.read.schema("report_id long, part long, entries array<string>").json(f"{path}/items")
     each = back.select("report_id", "part", F.explode("entries").alias("e")).withColumn("item", F.get_json_object("e", "$.item"))
     return each.groupBy("report_id", "part").agg(F.count("*").alias("n"), F.min("item").alias("first_item"))

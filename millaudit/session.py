@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -23,6 +26,7 @@ def local_session(cores: str = "8", memory: str = "12g") -> SparkSession:
         SparkSession.builder.master(f"local[{cores}]").appName("millaudit")
         .config("spark.sql.shuffle.partitions", cores if cores.isdigit() else "8")
         .config("spark.driver.memory", memory)
+        .config("spark.millaudit.deal", cores if cores.isdigit() else "8")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
@@ -42,19 +46,27 @@ def work_folder(spark: SparkSession, name: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="millaudit-")
+        base = _own_folder()
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
 
 
+@functools.cache
+def _own_folder() -> str:
+    """One temporary folder per process, removed at its end."""
+    base = tempfile.mkdtemp(prefix="millaudit-")
+    atexit.register(shutil.rmtree, base, ignore_errors=True)
+    return base
+
+
 def table(spark: SparkSession, folder: str, name: str):
-    """A given table. Where its files give fewer splits than there are cores, rows are dealt out to all
-    cores, since the expressions here cost more than reading; a large table has splits enough and is
-    read as it is."""
+    """A given table as it is stored.
+
+    Tables of one small file give one split. A session that names a number of partitions in
+    ``spark.millaudit.deal`` (local ones do) deals the rows out to them; a cluster leaves it unset.
+    """
     rows = spark.read.parquet(f"{folder}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in ("region", "nation") or rows.rdd.getNumPartitions() >= cores:
-        return rows
-    return rows.repartition(cores)
+    deal = spark.conf.get("spark.millaudit.deal", None)
+    return rows.repartition(int(deal)) if deal else rows
 
 
 def stored(spark: SparkSession, rows, name: str):

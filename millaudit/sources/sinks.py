@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from millaudit.functions.text import safe_file_name
 from millaudit.operators import standards
+from millaudit.operators.common import block_positions
 
 PART_ROWS = 1000
 FILES_PER_STANDARD = 8
@@ -45,23 +46,24 @@ def write_verdict_text(sections: DataFrame, path: str) -> None:
     sections.orderBy("request_id", "section").select("text").write.mode("overwrite").text(path)
 
 
-def nested_parts(rows: DataFrame, key: str, name: str, place: Column, part: Column) -> DataFrame:
-    """Rows of a list as JSON-ready parts: (key, list, part, entries); a part holds what ``part`` groups."""
+def nested_parts(rows: DataFrame, key: str, name: str, place: str, size: int) -> DataFrame:
+    """Rows of a list as JSON-ready parts of at most ``size`` rows: (key, list, part, entries), in order of a long place."""
     rest = [c for c in rows.columns if c != key]
+    numbered = block_positions(
+        rows.withColumn("_j", F.to_json(F.struct(*rest))).withColumn("_b", F.floor(F.col(place) / size)), [key], ["_b"], [place, "_j"], "_n"
+    )
     return (
-        rows.withColumn("_p", place).withColumn("part", part)
-        .groupBy(key, "part")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", F.to_json(F.struct(*rest)).alias("_j")))), lambda x: x["_j"]).alias("entries"))
+        numbered.groupBy(key, F.floor((F.col("_n") - 1) / size).cast("long").alias("part"))
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_j"))), lambda x: x["_j"]).alias("entries"))
         .select(key, F.lit(name).alias("list"), "part", "entries")
     )
 
 
-def write_results(summary: DataFrame, lists: dict[str, DataFrame], path: str) -> None:
+def write_results(summary: DataFrame, lists: dict[str, DataFrame], path: str, part_rows: int = PART_ROWS) -> None:
     """Result JSON: one line per report summary and one per list part, so that no report is ever one value.
 
-    lists: name -> (report_id, pos, …) with pos a long; a part holds PART_ROWS positions.
+    lists: name -> (report_id, pos, …) with pos a long; a part holds at most ``part_rows`` rows.
     """
     summary.write.mode("overwrite").json(f"{path}/summary")
     for name, rows in lists.items():
-        part = F.floor(F.col("pos") / PART_ROWS).cast("long")
-        nested_parts(rows, "report_id", name, F.col("pos"), part).write.mode("overwrite").json(f"{path}/{name}")
+        nested_parts(rows, "report_id", name, "pos", part_rows).write.mode("overwrite").json(f"{path}/{name}")

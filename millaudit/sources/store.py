@@ -20,19 +20,26 @@ class VerdictStore:
         found = fs.globStatus(path) or []
         return sorted(int(re.search(r"/v=(\d+)/", str(s.getPath())).group(1)) for s in found)
 
-    def version(self) -> int:
-        versions = self._versions()
-        return versions[-1] if versions else 0
-
-    def read(self) -> DataFrame:
-        """The latest snapshot; without any, an empty store."""
-        version = self.version()
-        if not version:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/v={version}")
-
-    def write(self, rows: DataFrame) -> int:
-        """A new snapshot; readers of older ones are not disturbed."""
-        version = self.version() + 1
+    def version(self, below: int | None = None) -> int | None:
+        """The highest committed version (below a number), none without any."""
+        versions = [v for v in self._versions() if below is None or v < below]
+        return versions[-1] if versions else None
+
+    def read(self, below: int | None = None) -> DataFrame:
+        """The latest snapshot (below a version); without a readable one, an empty store."""
+        version = self.version(below)
+        empty = self.spark.createDataFrame([], self.schema)
+        if version is None:
+            return empty
+        # Files that are no Parquet are passed over: a broken snapshot holds no verdicts, and all are judged anew.
+        return (
+            self.spark.read.schema(self.schema).option("ignoreCorruptFiles", True).parquet(f"{self.folder}/v={version}")
+        )
+
+    def write(self, rows: DataFrame, version: int | None = None) -> int:
+        """A new snapshot; readers of older ones are not disturbed. A version written again replaces itself."""
+        if version is None:
+            last = self.version()
+            version = 0 if last is None else last + 1
         rows.write.mode("overwrite").parquet(f"{self.folder}/v={version}")
         return version

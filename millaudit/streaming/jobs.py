@@ -35,15 +35,16 @@ def run_verdict_reuse(
     """Answers arriving requests from the verdict store; what is missing or expired is judged and stored.
 
     A micro-batch is reduced to distinct (code, production date) first, so a key asked for a million
-    times is looked up once. ``now_of`` gives the time of a batch. The snapshot of a repeated batch is
-    built from the same older one, because versions follow batch numbers.
+    times is looked up once. ``now_of`` gives the time of a batch. Batch n reads the highest
+    version up to n and writes version n + 1 (version 0 is the store before the stream), so a batch repeated
+    after its write reads the same snapshot again and replaces its own.
     """
 
     def answer(batch: DataFrame, batch_id: int) -> None:
         asked = batch.select("code", "production_date").distinct()
-        results, fresh_store = standards.validated(asked, registry, store.read(), now_of(batch_id))
+        results, fresh_store = standards.validated(asked, registry, store.read(below=batch_id + 1), now_of(batch_id))
         results.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-        store.write(fresh_store)
+        store.write(fresh_store, batch_id + 1)
 
     return (
         requests.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -110,8 +110,11 @@ def test_nearest_chunks_in_blocks(spark):
     vectors = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(120)]
     chunks = spark.createDataFrame(vectors, "chunk_id int, vector array<double>")
     questions = spark.createDataFrame(vectors[:15], "question_id int, vector array<double>")
-    got = {(r.question_id, r.rank): r.chunk_id for r in retrieval.nearest_chunks(questions, chunks, 5, block=4, salts=3).collect()}
-    assert all(got[(q, 1)] == q for q in range(15)) and len(got) == 75
+    got = {(r.question_id, r.rank): r.chunk_id for r in retrieval.nearest_chunks(questions, chunks, 5, blocks=4, groups=3, tile=7).collect()}
+    unit = [[x / sum(y * y for y in v) ** 0.5 for x in v] for _, v in vectors]
+    for q in range(15):
+        score = lambda i: round(sum(a * b for a, b in zip(unit[q], unit[i])), 9)  # noqa: B023, E731
+        assert [got[(q, r)] for r in range(1, 6)] == sorted(range(120), key=lambda i: (-score(i), i))[:5]
 
 
 def test_rule_items_of_a_question(spark):
@@ -184,6 +187,42 @@ def test_frequent_words_still_give_hits(spark):
     assert retrieval.top_chunks(question, chunks, lambda c: retrieval.char_grams(c, 2), 20).count() == 20
 
 
+def test_the_hot_gram_plan_never_changes_hits(spark):
+    """Against brute force, with every gram, some grams and no gram treated as frequent."""
+    from millaudit.operators import retrieval
+
+    rng = random.Random(4)
+    words = lambda n: " ".join(rng.choice("aaaabbbccdefgh") for _ in range(n))
+    held = [(i, words(rng.randint(1, 6))) for i in range(60)]
+    asked = [(i, words(rng.randint(1, 4))) for i in range(12)]
+    want = {}
+    for q, text in asked:
+        grams = set(text.split())
+        scored = sorted((-len(grams & set(t.split())) / len(grams), c) for c, t in held if grams & set(t.split()))
+        want[q] = [c for _, c in scored[:5]]
+    chunks, questions = spark.createDataFrame(held, "chunk_id int, content string"), spark.createDataFrame(asked, "question_id int, question string")
+    for hot in (0, 15, 1000):
+        got = {q: {} for q in want}
+        for r in retrieval.top_chunks(questions, chunks, lambda c: retrieval.word_grams(c, 1), 5, hot=hot).collect():
+            got[r.question_id][r["rank"]] = r.chunk_id
+        assert {q: [v[i] for i in sorted(v)] for q, v in got.items()} == want
+
+
+def test_a_repeated_batch_reads_the_same_store(spark, tmp_path):
+    from millaudit.sources.store import VerdictStore
+
+    store = VerdictStore(spark, str(tmp_path / "store"), "code string, ts double")
+    assert store.read().count() == 0
+    store.write(spark.createDataFrame([("GB 1", 1.0)], "code string, ts double"))
+    store.write(store.read(below=1).selectExpr("code", "ts + 1 AS ts"), 1)
+    store.write(store.read(below=1).selectExpr("code", "ts + 1 AS ts"), 1)
+    assert [r.ts for r in store.read().collect()] == [2.0] and store.version() == 1
+    (tmp_path / "store" / "v=2").mkdir()
+    (tmp_path / "store" / "v=2" / "part-0.parquet").write_bytes(b"no parquet")
+    (tmp_path / "store" / "v=2" / "_SUCCESS").touch()
+    assert store.read().count() == 0
+
+
 def test_one_registry_row_and_one_decision_count(spark):
     from pyspark.sql import functions as F
 
