@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from millaudit import fixed_values as V
 from millaudit.operators import limits, retrieval as R
@@ -429,3 +431,25 @@ def method_lookup(spark, sf):
     chunks = part.select(F.col("p_partkey").alias("chunk_id"), F.concat(F.col("p_name"), F.lit(" 检测方法"), F.col("p_size").cast("string")).alias("content"))
     hits = R.lookup(part, "methods", ["p_name"], chunks, lambda c: R.char_grams(c, 3), 30)
     return hits.select("p_name", "chunk_id", "score", "rank")
+
+
+@query("e5_lookups", """WITH a AS (SELECT 'items' AS kind, p_name || '检验项目' AS question FROM part UNION SELECT 'standard', 'GB ' || CAST(p_size AS VARCHAR) FROM part
+   UNION SELECT 'limit', p_brand || ' ' || p_name || ' 标准限量 指标要求' FROM part UNION SELECT 'indicator', 'GB 2763 ' || p_name || ' 标准限量 指标要求' FROM part),
+  t AS (SELECT *, lower(replace(question, ' ', '')) AS t FROM a), q AS (SELECT DISTINCT kind, question, substr(t, CAST(i AS INT), 3) AS gram FROM (SELECT *, unnest(generate_series(1, length(t) - 2)) AS i FROM t)),
+  n AS (SELECT kind, question, count(*) AS n FROM q GROUP BY 1, 2), d AS (SELECT p_partkey, lower(replace(p_name || '检验项目标准限量指标要求' || p_brand || 'GB' || CAST(p_size AS VARCHAR), ' ', '')) AS t FROM part),
+  c AS (SELECT DISTINCT p_partkey, substr(t, CAST(i AS INT), 3) AS gram FROM (SELECT p_partkey, t, unnest(generate_series(1, length(t) - 2)) AS i FROM d)),
+  s AS (SELECT kind, question, p_partkey AS chunk_id, count(*) AS shared FROM q JOIN c USING (gram) GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY kind, question ORDER BY shared DESC, chunk_id) AS rank FROM s)
+  SELECT kind, question, chunk_id, shared / n AS score, rank FROM r JOIN n USING (kind, question) WHERE rank <= 10""")
+def lookups(spark, sf):
+    """The lookups of required items, standards, limits and indicators, each with its ten best chunks."""
+    part = table(spark, sf, "part")
+    size = F.col("p_size").cast("string")
+    content = F.concat(F.col("p_name"), F.lit(" 检验项目 标准限量 指标要求 "), F.col("p_brand"), F.lit(" GB "), size)
+    chunks = part.select(F.col("p_partkey").alias("chunk_id"), content.alias("content"))
+    names = part.select("p_name", "p_brand", size.alias("size"), F.lit(None).cast("string").alias("code"))
+    asked = {"items": ["p_name"], "standard": ["size"], "limit": ["p_brand", "p_name"], "indicator": ["code", "p_name"]}
+    hits = [
+        R.lookup(names, kind, columns, chunks, lambda c: R.char_grams(c, 3), 10).select(F.lit(kind).alias("kind"), "question", "chunk_id", "score", "rank")
+        for kind, columns in asked.items()
+    ]
+    return reduce(DataFrame.unionByName, hits)
