@@ -2,7 +2,9 @@
 
 Every node of the page's tree gets its characters per tag, adjusted by its links. A node's density sum adds up its
 children's densities; the node with the largest sum holds the article. The smallest density on the path from there to the body is the
-threshold: every node that reaches it brings in the largest-sum node below it.
+threshold: every node that reaches it brings in the largest-sum node below it. Density alone would drop titles and short paragraphs beside
+these nodes, so it decides on boxes (div, section and the like): text elements and like parts beside content stay, and so does all of the best
+node's article element.
 """
 
 from __future__ import annotations
@@ -29,6 +31,11 @@ ENDS_SAME = {
     "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
     "tbody": ({"thead", "tbody", "tfoot"}, {"table"}), "tfoot": ({"thead", "tbody", "tfoot"}, {"table"}), "thead": ({"caption"}, {"table"}),
 }
+#: Blocks that stay or go by their own density; other elements go with the content they stand beside.
+BOXES = frozenset("address article body center details div fieldset header hgroup main section summary".split())
+CELLS = frozenset("table tbody td tfoot th thead tr".split())
+#: A table cell with one of these lays out the page and is a box; others hold data.
+LAYOUT = frozenset("article div h1 h2 main p section table".split())
 #: Elements that never hold article text.
 NOT_TEXT = frozenset(
     "head script style noscript template title textarea iframe object embed canvas audio video svg map nav footer aside dialog menu form fieldset button select option "
@@ -43,6 +50,7 @@ NOT_TEXT_NAMES = frozenset(
 )
 _MARKUP = re.compile(r"""<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>?""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_CLASS = re.compile(r"""\bclass\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _NAME_PART = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?until)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 
@@ -163,9 +171,8 @@ def densities(page: Page, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]
     density = np.zeros(n)
     for i in np.flatnonzero(use & (chars > 0)).tolist():
         c, t, lc, lt = chars[i], max(tags[i], 1), max(link_chars[i], 1), max(link_tags[i], 1)
-        base = math.log(c / max(c - link_chars[i], 1) * link_chars[i] + share * c + math.e)
-        density[i] = c / t * math.log(max(c / lc * t / lt, 1)) / max(math.log(base), 1e-2) if base > 1 else 0
-        density[i] = max(density[i], 1e-9)
+        base = math.log(c / max(c - link_chars[i], 1) * lc + share * c + math.e)  # lc is at least 1, so that base is above 1 without links too
+        density[i] = max(c / t * math.log(max(c / lc * t / lt, 1)) / math.log(base), 1e-9)
     total = np.zeros(n)
     np.add.at(total, np.array(page.parents[1:], np.int64), density[1:])
     return density, np.maximum(total, density * (total == 0)), body
@@ -189,9 +196,22 @@ def _chosen(page: Page, density: np.ndarray, total: np.ndarray, body: int) -> np
     for i in range(n):
         if density[i] >= threshold > 0:
             content[below_best[i]] = True
+    at = best
+    while at:
+        content[at] |= page.tags[at] == "article"
+        at = page.parents[at]
+    holds, layout = content.copy(), np.array([t in LAYOUT for t in page.tags])
+    for i in range(n - 1, 0, -1):
+        holds[page.parents[i]] |= holds[i]
+        layout[page.parents[i]] |= layout[i]
+    kinds = [(p, t, m[0].lower() if (m := _CLASS.search(a)) else "") for p, t, a in zip(page.parents, page.tags, page.attributes)]
+    parts = {k for i, k in enumerate(kinds) if holds[i] and (k[2] or k[1] == "section")}  # an article's parts look alike
+    whole = content.copy()  # with all below
     for i in range(1, n):
-        content[i] |= content[page.parents[i]]
-    return content
+        p, tag = page.parents[i], page.tags[i]
+        box = (tag in BOXES or "-" in tag or tag in CELLS and layout[i]) and kinds[i] not in parts
+        whole[i] |= whole[p] or holds[p] and not holds[i] and not box
+    return whole | holds
 
 
 def main_text(source: str | None) -> str:

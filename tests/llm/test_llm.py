@@ -117,6 +117,18 @@ def test_main_text_of_pages():
     assert html_text.main_text("<div>" * 5000 + "deep text" + "</div>" * 5000) == "deep text"
 
 
+def test_density_leaves_out_unnamed_blocks_without_links():
+    box = "<div class=q7><span>Buy now</span><span>Only 5.99</span><span>Order</span><b>Hot</b></div>"
+    parts = ["Title", "A first paragraph of the article with a good number of words in it, as articles have them.", "Short one.", "Part", "Another paragraph that goes on for a while with words and more words, and ends here.", "Yes."]
+    inside = f"<h1>{parts[0]}</h1><section><p>{parts[1]}</p><p>{parts[2]}</p></section><section><h2>{parts[3]}</h2><p>{parts[4]}</p></section><section><p>{parts[5]}</p></section>"
+    for tag in ("div", "article", "main", "td"):
+        around = ("<table><tr>", "</table>") if tag == "td" else ("", "")
+        page = f"<html><body>{box}{around[0]}<{tag}>{inside}</{tag}>{around[1]}{box}<x-ad>Hot offers</x-ad></body></html>"
+        assert html_text.main_text(page).split("\n\n") == parts
+    density, total, body = html_text.densities(html_text.Page(f"<body><p>{parts[1]}</p>{box}"), np.ones(8, bool))
+    assert density[2] > density[3] > 1e-3
+
+
 def test_pages_equal_their_article(spark):
     import html
 
