@@ -52,6 +52,8 @@ _MARKUP = re.compile(r"""<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>?|<(
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _CLASS = re.compile(r"""\bclass\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _NAME_PART = re.compile(r"[a-z]+")
+#: Names that say what a wrapper has.
+_PROPERTY = re.compile(r"\b(?:has|with|no|without)[-_]\S*")
 _HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?until)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 
 
@@ -126,22 +128,37 @@ class Page:
             self._close(stack, depth)
 
 
-def _unwanted(page: Page, chars: np.ndarray, article: np.ndarray) -> np.ndarray:
+def _unwanted(page: Page, own: np.ndarray, article: np.ndarray) -> np.ndarray:
     """Nodes outside the article by their element, role or names; what stands below them goes as well."""
-    total = max(1, int(chars[0]))
-    out = np.zeros(len(page.tags), bool)
-    inside = np.zeros(len(page.tags), bool)  # of an article or main element
-    for i in range(1, len(page.tags)):
+    n = len(page.tags)
+    chars = _sums(page, own)
+    never, marked, title = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, bool)
+    inside = np.zeros(n, bool)  # of an article or main element
+    for i in range(1, n):
         tag, parent = page.tags[i], page.parents[i]
         inside[i] = inside[parent] or tag in ("article", "main")
-        if out[parent] or tag in NOT_TEXT or tag == "header" and not inside[i]:
-            out[i] = True
-        elif page.attributes[i]:
+        title[i] = tag == "h1"
+        if tag in NOT_TEXT or tag == "header" and not inside[i]:
+            never[i] = True
+        elif page.attributes[i] and tag not in ("html", "body", "main") and not article[i]:
             values = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _ATTRIBUTE.finditer(page.attributes[i])}
-            names = set(_NAME_PART.findall(values.get("class", "") + " " + values.get("id", "")))
-            marked = values.get("role") in NOT_TEXT_ROLES or _HIDDEN.search(page.attributes[i]) or names & NOT_TEXT_NAMES
-            # A wrapper may be named after one of its parts: what holds an article, or most of the page's text, stays.
-            out[i] = bool(marked) and tag not in ("html", "body", "main") and not article[i] and 2 * chars[i] <= total
+            names = set(_NAME_PART.findall(_PROPERTY.sub(" ", values.get("class", "") + " " + values.get("id", ""))))
+            marked[i] = bool(values.get("role") in NOT_TEXT_ROLES or _HIDDEN.search(page.attributes[i]) or names & NOT_TEXT_NAMES)
+    # Text and titles outside marked blocks: below a node, and below it or beside the large marked blocks around it.
+    free, titles = own.copy(), title.copy()
+    for i in range(n - 1, 0, -1):
+        titles[page.parents[i]] |= titles[i] and not never[i]
+        free[page.parents[i]] += 0 if never[i] or marked[i] else free[i]
+    out = np.zeros(n, bool)
+    beside = np.full(n, free[0])
+    for i in range(1, n):
+        parent = page.parents[i]
+        out[i], beside[i] = out[parent] or never[i], beside[parent]
+        if marked[i] and not out[i]:
+            # A wrapper may be named after one of its parts: of large blocks, what holds the page's title or all text there is stays.
+            comments = "comment" in page.attributes[i].lower()
+            out[i] = 2 * chars[i] <= chars[0] or beside[i] > 0 and (comments or not titles[i])
+            beside[i] += free[i]
     return out
 
 
@@ -227,7 +244,7 @@ def main_text(source: str | None) -> str:
     for i in range(n - 1, 0, -1):
         article[page.parents[i]] |= article[i]
     comments = np.array(["comment" in a.lower() for a in page.attributes])
-    unwanted = _unwanted(page, _sums(page, own), article & ~comments)
+    unwanted = _unwanted(page, own, article & ~comments)
     density, total, body = densities(page, ~unwanted)
     keep = _chosen(page, density, total, body) & ~unwanted
     blocks: list[str] = []

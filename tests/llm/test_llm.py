@@ -129,6 +129,21 @@ def test_density_leaves_out_unnamed_blocks_without_links():
     assert density[2] > density[3] > 1e-3
 
 
+def test_marked_blocks_go_whatever_their_share():
+    article = "<h1>Title</h1><p>A short article of a few words.</p>"
+    said = "".join(f"<li><p>Reader {i} says a good deal more than the article does, and goes on.</p></li>" for i in range(20))
+    want = "Title\n\nA short article of a few words."
+    for block in (f"<ol class=commentlist>{said}</ol>", f"<div class=comments><h3>20</h3><ul>{said}</ul></div>", f"<div role=complementary>{said}</div>", f"<div class=notice>{said}</div>"):
+        for around in ("<div class=c>%s</div>", "%s", "<article>%s</article>", "<div class=has-sidebar>%s</div>"):
+            assert html_text.main_text(f"<body>{around % article}{block}</body>") == want
+        assert html_text.main_text(f"<body><div id=widget>{article}{block}</div></body>") == want
+    # Wrappers that hold the article stay.
+    for name in ("has-sidebar", "page with-comments", "widget", "notice"):
+        page = f"<body><div class='{name}'>{article}<p>{'More of it. ' * 9}</p></div><p>© 2020</p></body>"
+        assert html_text.main_text(page).startswith(want)
+    assert html_text.main_text("<body><div class=banner><p>All there is.</p></div></body>") == "All there is."
+
+
 def test_pages_equal_their_article(spark):
     import html
 
