@@ -1,8 +1,9 @@
 """Quality classifier by co-training: a text view and a page-metadata view teach each other.
 
-Both views are logistic regressions over hashed features, fitted on bounded samples. In each round either view labels the unlabelled
-documents it is surest about, and the other view learns from them. The two views' log-odds are then calibrated and combined on
-labelled documents that neither learned from, and every document is scored.
+Both views are linear over hashed features: a logistic regression fitted on a bounded labelled sample, and naive Bayes odds from counts over
+that sample and every other document the other view is sure about. In each round either view scores all documents, and those it is
+surest about are counted for the other view by Spark. Views, and at the end their sum, are calibrated on labelled documents
+that neither learned from, and every document is scored.
 """
 
 from __future__ import annotations
@@ -16,14 +17,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-#: Labelled and unlabelled documents learned from at most; of the labelled ones, every FOLDth calibrates.
-LABELLED_ROWS, POOL_ROWS, FOLD = 10_000, 5_000, 4
+from millaudit.llm.common import written
+
+#: Labelled documents learned from at most; one in FOLD of them, by id, calibrates.
+LABELLED_ROWS, FOLD = 10_000, 4
 #: Letters of the word beginnings that are features besides whole words.
 PREFIXES = (5, 7)
 #: How surely a feature must go with a target to be used, as chi-square of its documents.
 ASSOCIATED = 25.0
 ROUNDS, EXCHANGED, SURE = 3, 0.1, 0.95
 STEPS, RATE, DECAY = 200, 0.1, 1e-4
+#: Log-odds are clipped at LIMIT and ordered in BINS steps of one. Documents looked at and features counted together.
+LIMIT, BINS, CHUNK, COUNTED = 30, 64, 500, 2_000_000
 TARGETS = ("quality", "toxic")
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 _LETTER, _UPPER = re.compile(r"[^\W\d_]+"), re.compile(r"[A-ZÀ-ÖØ-Þ]+")
@@ -83,9 +88,6 @@ class Sample:
     def take(self, rows: np.ndarray) -> Sample:
         return Sample.of([self.ids[self.begins[i] : self.begins[i + 1]] for i in rows.tolist()])
 
-    def join(self, other: Sample) -> Sample:
-        return Sample(np.concatenate((self.ids, other.ids)), np.concatenate((self.begins, self.begins[-1] + other.begins[1:])))
-
 
 @dataclass
 class View:
@@ -151,11 +153,20 @@ def _calibration(z: np.ndarray, y: np.ndarray) -> np.ndarray:
         c[-1] = 0.0 if not len(y) else float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
         return c
     prior = c.copy()
+
+    def loss(c):
+        return np.logaddexp(0, z @ c).sum() - y @ (z @ c) + 0.5 * ((c - prior) ** 2).sum()
+
     for _ in range(25):
         p = _p(z @ c)
         g = z.T @ (p - y) + 1.0 * (c - prior)
         h = (z * (p * (1 - p))[:, None]).T @ z + 1.0 * np.eye(len(c))
-        c = c - np.linalg.solve(h, g)
+        step = np.linalg.solve(h, g)
+        for _ in range(30):  # a whole step may go too far where all odds are large
+            if loss(c - step) <= loss(c):
+                c = c - step
+                break
+            step = step / 2
     return c
 
 
@@ -174,36 +185,146 @@ class Classifier:
         return out
 
 
-def _sure(p: np.ndarray, free: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Free documents the view is surest about, at most EXCHANGED of all on either side, with their labels."""
-    most = max(1, int(EXCHANGED * len(p)))
-    order = np.argsort(p, kind="stable")
-    low = [i for i in order[:most] if free[i] and p[i] <= 1 - SURE]
-    high = [i for i in order[::-1][:most] if free[i] and p[i] >= SURE]
-    return np.array(low + high, np.int64), np.array([0.0] * len(low) + [1.0] * len(high))
+def counted(features: np.ndarray, n: np.ndarray, good: np.ndarray, rows: float, rows_good: float) -> View:
+    """Naive Bayes odds from the documents and good documents of every feature."""
+    p, q = (good + 1) / (rows_good + 2), (n - good + 1) / (rows - rows_good + 2)
+    order = np.argsort(features)
+    weights = np.log(p / (1 - p)) - np.log(q / (1 - q))
+    return View(features[order], weights[order], float(np.log((rows_good + 1) / (rows - rows_good + 1)) + np.log((1 - p) / (1 - q)).sum()))
+
+
+def stacked(base: View, taught: View | None, held: Sample, y: np.ndarray) -> View:
+    """One view of calibrated log-odds from the fitted and the counted one."""
+    parts = [base]
+    if taught is not None:
+        scale = max(1.0, float(taught.odds(held).std()) if len(held) else 1.0)  # words of a text go together, so their odds add up to too much
+        parts.append(View(taught.features, taught.weights / scale, taught.bias / scale))
+    c = _calibration(np.column_stack([v.odds(held) for v in parts]), y)
+    features, place = np.unique(np.concatenate([v.features for v in parts]), return_inverse=True)
+    weights = np.bincount(place, np.concatenate([k * v.weights for k, v in zip(c, parts)]), features.size)
+    return View(features, weights, float(sum(k * v.bias for k, v in zip(c, parts)) + c[-1]))
+
+
+def _bins(z: np.ndarray) -> np.ndarray:
+    return np.floor((np.clip(z, -LIMIT, LIMIT) + LIMIT) * BINS).astype(np.int64)
+
+
+#: The bins from which a view is sure.
+SURE_LOW, SURE_HIGH = int(_bins(np.log([(1 - SURE) / SURE]))[0]) - 1, int(_bins(np.log([SURE / (1 - SURE)]))[0]) + 1
+
 
+def _chunks(batches):
+    """(quality, toxic, held, and both views) of a few documents at a time."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, CHUNK):
+            batch = whole.slice(at, CHUNK)
+            known = [batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in TARGETS]
+            views = [Sample.of([np.frombuffer(x, np.uint32).astype(np.int64) for x in batch.column(c).to_pylist()]) for c in ("content", "metadata")]
+            yield known, batch.column("held").to_numpy(zero_copy_only=False).astype(bool), views
 
-def co_trained(labelled: tuple[Sample, Sample], y: np.ndarray, pool: tuple[Sample, Sample]) -> tuple[tuple[View, View], np.ndarray]:
-    """Two views that have taught each other, and their calibration on every FOLDth labelled document."""
-    held = np.arange(len(y)) % FOLD == FOLD - 1
-    learn = [x.take(np.flatnonzero(~held)) for x in labelled]
-    target = [y[~held], y[~held]]
-    free = [np.ones(len(pool[0]), bool), np.ones(len(pool[0]), bool)]
-    models = [fitted(x, t) for x, t in zip(learn, target)]
+
+def sure_bins(rows: DataFrame, models: dict[str, tuple[View, View]]) -> dict[tuple[int, int], tuple[int, int, int, int]]:
+    """By target and teacher: the bins below and above which documents teach, and how many documents that is.
+
+    These are the EXCHANGED of all unlabelled documents with the lowest and highest odds, with ties, as far as the teacher is sure.
+    """
+    handed = rows.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches):
+        found = np.zeros((len(TARGETS), 2, 2 * LIMIT * BINS + 1), np.int64)
+        for known, _, views in _chunks(batches):
+            free = np.isnan(known[0])
+            for t, target in enumerate(TARGETS):
+                for v in (0, 1):
+                    found[t, v] += np.bincount(_bins(handed.value[target][v].odds(views[v]))[free], minlength=found.shape[2])
+        t, v, b = np.nonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(v), pa.array(b), pa.array(found[t, v, b])], names=["t", "v", "b", "n"])
+
+    table = rows.mapInArrow(run, "t bigint, v bigint, b bigint, n bigint").groupBy("t", "v", "b").agg(F.sum("n").alias("n")).toArrow()
+    number = np.zeros((len(TARGETS), 2, 2 * LIMIT * BINS + 1), np.int64)
+    number[tuple(table.column(c).to_numpy() for c in ("t", "v", "b"))] = table.column("n").to_numpy()
+    out = {}
+    for t in range(len(TARGETS)):
+        for v in (0, 1):
+            up = np.cumsum(number[t, v])
+            most = max(1, int(EXCHANGED * up[-1]))
+            low = min(SURE_LOW, int(np.searchsorted(up, most)))
+            high = max(SURE_HIGH, int(np.searchsorted(up, up[-1] - most, side="right")))
+            out[t, v] = low, high, int(up[low]), int(up[-1] - up[high - 1])
+    return out
+
+
+def feature_counts(rows: DataFrame, models: dict[str, tuple[View, View]], bins: dict) -> DataFrame:
+    """(view, feature, n0, good0, n1, good1): documents and good ones by target, over labelled documents and those the other view is sure about."""
+    handed = rows.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches):
+        kept, size = [[], []], [0, 0]
+
+        def flush(v):
+            ids, which = (np.concatenate(x) for x in zip(*kept[v]))
+            kept[v], size[v] = [], 0
+            features, place = np.unique(ids, return_inverse=True)
+            columns = []
+            for t in range(len(TARGETS)):
+                label = which // 3**t % 3  # 0 and 1 are labels, 2 is none
+                columns += [np.bincount(place, label < 2, features.size).astype(np.int64), np.bincount(place, label == 1, features.size).astype(np.int64)]
+            arrays = [pa.array(np.full(features.size, v)), pa.array(features), *map(pa.array, columns)]
+            yield from pa.Table.from_arrays(arrays, names=["view", "feature", "n0", "good0", "n1", "good1"]).to_batches(max_chunksize=50_000)
+
+        for known, held, views in _chunks(batches):
+            for v in (0, 1):
+                which = np.zeros(len(held), np.int64)
+                for t, target in enumerate(TARGETS):
+                    b = _bins(handed.value[target][1 - v].odds(views[1 - v]))
+                    low, high = bins[t, 1 - v][:2]
+                    taught = np.where(b <= low, 0, np.where(b >= high, 1, 2))
+                    which += 3**t * np.where(np.isnan(known[t]), taught, np.where(held, 2, known[t] > 0))
+                own = views[v].take(np.flatnonzero(which < 8))
+                if own.ids.size:
+                    kept[v].append((own.ids, which[which < 8][own.rows()]))
+                    size[v] += own.ids.size
+                if size[v] >= COUNTED:
+                    yield from flush(v)
+        for v in (0, 1):
+            if kept[v]:
+                yield from flush(v)
+
+    names = ["n0", "good0", "n1", "good1"]
+    found = rows.mapInArrow(run, "view bigint, feature bigint, n0 bigint, good0 bigint, n1 bigint, good1 bigint")
+    return found.groupBy("view", "feature").agg(*[F.sum(c).alias(c) for c in names])
+
+
+def co_trained(rows: DataFrame, labelled: tuple[Sample, Sample], ys: dict[str, np.ndarray], held: np.ndarray) -> dict[str, tuple[View, View]]:
+    """By target the two views after they have taught each other on every row."""
+    learn, test = ([x.take(np.flatnonzero(part)) for x in labelled] for part in (~held, held))
+    base = {t: [fitted(x, y[~held]) for x in learn] for t, y in ys.items()}
+    models = {t: tuple(stacked(b, None, x, ys[t][held]) for b, x in zip(base[t], test)) for t in TARGETS}
     for _ in range(ROUNDS):
-        taught = False
-        for teacher, pupil in ((0, 1), (1, 0)):
-            rows, labels = _sure(_p(models[teacher].odds(pool[teacher])), free[pupil])
-            if rows.size:
-                free[pupil][rows] = False
-                learn[pupil] = learn[pupil].join(pool[pupil].take(rows))
-                target[pupil] = np.concatenate((target[pupil], labels))
-                taught = True
-        if not taught:
+        bins = sure_bins(rows, models)
+        if not any(low + high for *_, low, high in bins.values()):
             break
-        models = [fitted(x, t) for x, t in zip(learn, target)]
-    z = np.column_stack([m.odds(x.take(np.flatnonzero(held))) for x, m in zip(labelled, models)])
-    return (models[0], models[1]), _calibration(z, y[held])
+        totals, told = {}, F.lit(False)
+        for t, target in enumerate(TARGETS):
+            y = ys[target][~held]
+            for v in (0, 1):
+                _, _, low, high = bins[t, 1 - v]
+                n, good = totals[t, v] = float(len(y) + low + high), float(y.sum() + high)
+                if 0 < good < n:
+                    miss, with_feature = F.col(f"good{t}") - F.col(f"n{t}") * F.lit(good / n), F.col(f"n{t}")
+                    spread = with_feature * (F.lit(n) - with_feature) * F.lit(good / n * (n - good) / n / n)
+                    told = told | (F.col("view") == v) & (miss * miss >= F.lit(ASSOCIATED) * F.greatest(spread, F.lit(1e-12)))
+        table = feature_counts(rows, models, bins).where(told).toArrow()
+        column = {c: table.column(c).to_numpy() for c in table.column_names}
+        taught = {t: [] for t in TARGETS}
+        for t, target in enumerate(TARGETS):
+            for v in (0, 1):
+                (n, good), x, g = totals[t, v], column[f"n{t}"], column[f"good{t}"]
+                spread = x * (n - x) * (good / max(n, 1) * (n - good) / max(n, 1) ** 2)
+                own = (column["view"] == v) & ((g - x * good / max(n, 1)) ** 2 >= ASSOCIATED * np.maximum(spread, 1e-12)) & (0 < good < n)
+                taught[target].append(counted(column["feature"][own], x[own], g[own], n, good) if own.any() else None)
+        models = {t: tuple(stacked(b, c, x, ys[t][held]) for b, c, x in zip(base[t], taught[t], test)) for t in TARGETS}
+    return models
 
 
 def _views(batch: pa.RecordBatch, features: Features) -> tuple[list, list]:
@@ -211,26 +332,25 @@ def _views(batch: pa.RecordBatch, features: Features) -> tuple[list, list]:
     return [features.content(t) for t in columns[0]], [features.metadata(*row) for row in zip(*columns)]
 
 
-def _feature_rows(rows: DataFrame) -> list:
-    """(doc_id, quality, toxic, content, metadata) of a bounded set of documents, on the driver."""
+def feature_rows(rows: DataFrame) -> DataFrame:
+    """(doc_id, quality, toxic, held, content, metadata) of documents, written once for all rounds."""
 
     def run(batches):
         features = Features()
-        for batch in batches:
-            content, metadata = _views(batch, features)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *[batch.column(t) for t in TARGETS], pa.array([x.astype(np.uint32).tobytes() for x in content], pa.binary()), pa.array([x.astype(np.uint32).tobytes() for x in metadata], pa.binary())],
-                names=["doc_id", *TARGETS, "content", "metadata"],
-            )
-
-    picked = rows.select("doc_id", "text", F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("bigint"), *[F.col(t).cast("double") for t in TARGETS])
+        for whole in batches:
+            for at in range(0, whole.num_rows, CHUNK):
+                batch = whole.slice(at, CHUNK)
+                views = [pa.array([x.astype(np.uint32).tobytes() for x in view], pa.binary()) for view in _views(batch, features)]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", *TARGETS, "held")], *views], names=["doc_id", *TARGETS, "held", "content", "metadata"])
+
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLD == FOLD - 1
+    picked = rows.select("doc_id", "text", F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("bigint"), *[F.col(t).cast("double") for t in TARGETS], held.alias("held"))
     kind = picked.schema["doc_id"].dataType.simpleString()
-    table = picked.mapInArrow(run, f"doc_id {kind}, quality double, toxic double, content binary, metadata binary").toArrow()
-    return sorted(table.to_pylist(), key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), str(r["doc_id"]), r["content"]))
+    return written(picked.mapInArrow(run, f"doc_id {kind}, quality double, toxic double, held boolean, content binary, metadata binary"), "quality-features")
 
 
-def fit(documents: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, pool_rows: int = POOL_ROWS) -> Classifier:
-    """A classifier from at most ``labelled_rows`` labelled and ``pool_rows`` unlabelled documents, those whose ids hash lowest.
+def fit(documents: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS) -> Classifier:
+    """A classifier from at most ``labelled_rows`` labelled documents, those whose ids hash lowest, and all others without their labels.
 
     A document with several label rows counts as bad if one of them says so. Null labels are left out.
     """
@@ -238,24 +358,18 @@ def fit(documents: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_R
         labels.where("doc_id is not null and quality is not null and toxic is not null")
         .groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     )
-    low = F.xxhash64("doc_id")
-    known = judged.orderBy(low, "doc_id").limit(labelled_rows)
-    other = documents.where("doc_id is not null").select("doc_id").join(judged, "doc_id", "left_anti").distinct().orderBy(low, "doc_id").limit(pool_rows)
-    other = other.select("doc_id", F.lit(None).cast("int").alias("quality"), F.lit(None).cast("int").alias("toxic"))
-    ids = known.select("doc_id", *[F.col(t).cast("int") for t in TARGETS]).unionByName(other)
-    rows = _feature_rows(documents.drop(*TARGETS).join(F.broadcast(ids), "doc_id"))  # both parts are limited above
-
-    def sample(own, name):
-        return Sample.of([np.frombuffer(r[name], np.uint32).astype(np.int64) for r in own])
-
-    labelled, pool = [r for r in rows if r["quality"] is not None], [r for r in rows if r["quality"] is None]
-    views, calibration = {}, {}
-    both, unlabelled = (sample(labelled, "content"), sample(labelled, "metadata")), (sample(pool, "content"), sample(pool, "metadata"))
-    for t in TARGETS:
-        views[t], calibration[t] = co_trained(both, np.array([r[t] > 0 for r in labelled], float), unlabelled)
+    known = judged.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled_rows).select("doc_id", *[F.col(t).cast("int") for t in TARGETS])
+    rows = feature_rows(documents.where("doc_id is not null").drop(*TARGETS).join(F.broadcast(known), "doc_id", "left"))  # known is limited above
+    labelled = sorted(rows.where("quality is not null").toArrow().to_pylist(), key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), str(r["doc_id"]), r["content"]))
+    both = tuple(Sample.of([np.frombuffer(r[c], np.uint32).astype(np.int64) for r in labelled]) for c in ("content", "metadata"))
     if not labelled:  # nothing was learned: every document passes
-        calibration["quality"][-1], calibration["toxic"][-1] = 30.0, -30.0
-    return Classifier(views, calibration)
+        none = View(np.zeros(0, np.int64), np.zeros(0), 0.0)
+        return Classifier({t: (none, none) for t in TARGETS}, {"quality": np.array([0, 0, 30.0]), "toxic": np.array([0, 0, -30.0])})
+    held = np.array([r["held"] for r in labelled])
+    ys = {t: np.array([r[t] > 0 for r in labelled], float) for t in TARGETS}
+    views = co_trained(rows, both, ys, held)
+    test = [x.take(np.flatnonzero(held)) for x in both]
+    return Classifier(views, {t: _calibration(np.column_stack([m.odds(x) for m, x in zip(views[t], test)]), ys[t][held]) for t in TARGETS})
 
 
 def scored(documents: DataFrame, classifier: Classifier) -> DataFrame:

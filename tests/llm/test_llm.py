@@ -275,6 +275,20 @@ def test_classifier_finds_toxic_and_poor_documents(spark):
     assert sum(got[i] == (i % 6 != 0 and i % 5 != 0) for i in got) >= 590
 
 
+def test_classifier_learns_from_every_unlabelled_document(spark):
+    rows, labels = [], []
+    for i in range(8600):
+        bad = i % 20 == 0
+        words = [f"w{(i * 7 + j * j) % 300}" for j in range(8)]
+        if i < 600:
+            labels.append((i, 1, int(bad)))
+        elif bad:  # words that only unlabelled documents hold, each eight of them
+            words.append(f"bad{i // 20 % 50}")
+        rows.append((i, " ".join(words), "en", f"bad{i % 3}" if bad else f"s{i % 7}", 60))
+    model = quality.fit(spark.createDataFrame(rows, DOCUMENTS), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    assert {quality._hash(f"bad{j}") for j in range(50)} <= set(model.views["toxic"][0].features.tolist())
+
+
 def test_pipeline_runs_every_stage(spark):
     import corpus_pipeline
 
