@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millaudit.llm import chat_format, decontaminate, html_text, language_id, lines, near_dup, packing, quality, substrings, topk
+from millaudit.llm import chat_format, decontaminate, html_text, language_id, lines, near_dup, packing, periodic, quality, repair, substrings, topk, toxicity
 from millaudit.llm.common import table
 
 #: Vocabulary files; parameters of the operators.
@@ -69,11 +69,24 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic_runs(table(spark, sf_dir, "documents"), damage=True, as_text=False)
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return toxicity.scored(documents, toxicity.fit(documents, table(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_chat_formatting, op2_html_extraction, op3_language_id, op4_decontamination, op5_top_k, op6_packing, op7_near_duplicates, op8_quality_classifier,
-        op9_substring_dedup, op10_line_dedup,
+        op9_substring_dedup, op10_line_dedup, op11_periodic_runs, op12_toxicity, op13_conversation_repair,
     )
 }
 
@@ -168,4 +181,62 @@ CHECKS = {
             SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS body
             FROM marked GROUP BY doc_id)
         SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(body) AS kept_sha256 FROM documents LEFT JOIN kept USING (doc_id)""",
+    "op13_conversation_repair": r"""
+        WITH RECURSIVE said AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k
+            FROM conversations),
+        drawn AS (
+            SELECT *, xor(list_reduce([4294967295::BIGINT] || [ascii(c)::BIGINT FOR c IN string_split(k, '')], lambda crc, b: list_reduce(
+                [xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295) % 20 AS d
+            FROM said),
+        rows AS (
+            SELECT conv_id, turn, CASE d WHEN 4 THEN 'user' ELSE role END AS role,
+                CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE d WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+            FROM drawn),
+        numbered AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text)) AS i,
+                substr(role, 1, 1) AS initial
+            FROM rows),
+        faulty AS (
+            SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+                    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 't' ELSE '' END AS fault,
+                lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial NOT IN ('su', 'ua', 'au') AS bad
+            FROM numbered),
+        counted AS (
+            SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+                count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (bad) AS illegal
+            FROM faulty GROUP BY conv_id),
+        inserts(f, g, n) AS (VALUES (0, 0, 0), (0, 2, 1), (0, 3, 2), (1, 1, 0), (1, 2, 1), (1, 3, 2), (2, 2, 0), (2, 3, 1), (3, 3, 0), (3, 2, 1)),
+        edits(f, initial, letter, price, t) AS (
+            VALUES (0, 's', 'K', 0, 1), (0, 'u', 'K', 0, 2), (1, 'u', 'K', 0, 2), (2, 'a', 'K', 0, 3), (3, 'u', 'K', 0, 2), (0, '', 'R', 2, 2), (1, '', 'R', 2, 2),
+                (2, '', 'R', 2, 3), (3, '', 'R', 2, 2), (0, '', 'D', 3, 0), (1, '', 'D', 3, 1), (2, '', 'D', 3, 2), (3, '', 'D', 3, 3)),
+        moves AS (SELECT inserts.f, initial, letter, 2 * n + price AS price, repeat('I', n) || letter AS letters, t FROM inserts JOIN edits ON g = edits.f),
+        walk AS (
+            SELECT conv_id, 0::BIGINT AS i, 0 AS state, {'cost': 0::BIGINT, 'audit': ''} AS best FROM counted
+            UNION ALL
+            SELECT walk.conv_id, walk.i + 1, t, min({'cost': best.cost + price + (fault = 't' AND letter <> 'D')::BIGINT, 'audit': best.audit || letters})
+            FROM walk JOIN faulty ON walk.conv_id IS NOT DISTINCT FROM faulty.conv_id AND faulty.i = walk.i + 1
+            JOIN moves ON f = state AND (letter = 'D' OR (fault NOT IN ('b', 'd') AND (letter = 'R' OR moves.initial = faulty.initial)))
+            GROUP BY walk.conv_id, walk.i, t),
+        chosen AS (
+            SELECT counted.conv_id, min({'cost': best.cost + 2 * inserts.n, 'audit': best.audit || repeat('I', inserts.n)}) AS best
+            FROM counted JOIN walk ON counted.conv_id IS NOT DISTINCT FROM walk.conv_id AND counted.n = walk.i JOIN inserts ON f = state AND g IN (0, 3)
+            GROUP BY counted.conv_id),
+        letters AS (SELECT conv_id, unnest(string_split(best.audit, '')) AS letter, generate_subscripts(string_split(best.audit, ''), 1) AS p FROM chosen WHERE best.audit <> ''),
+        placed AS (
+            SELECT *, count(*) FILTER (letter <> 'I') OVER so_far AS i, count(*) FILTER (letter <> 'D') OVER so_far AS k
+            FROM letters WINDOW so_far AS (PARTITION BY conv_id ORDER BY p)),
+        given AS (
+            SELECT placed.*, faulty.role, faulty.text,
+                max((k = 1 AND letter = 'K' AND initial = 's')::INT) OVER (PARTITION BY placed.conv_id) AS has_system
+            FROM placed LEFT JOIN faulty ON letter <> 'I' AND placed.conv_id IS NOT DISTINCT FROM faulty.conv_id AND placed.i = faulty.i),
+        texts AS (
+            SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (k - has_system) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':'
+                || CASE letter WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY p) AS body
+            FROM given WHERE letter <> 'D' GROUP BY conv_id),
+        every AS (SELECT DISTINCT conv_id FROM conversations)
+        SELECT every.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+            coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0)::BIGINT AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+        FROM every LEFT JOIN counted ON every.conv_id IS NOT DISTINCT FROM counted.conv_id LEFT JOIN chosen ON every.conv_id IS NOT DISTINCT FROM chosen.conv_id
+            LEFT JOIN texts ON every.conv_id IS NOT DISTINCT FROM texts.conv_id""",
 }
