@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -25,13 +28,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A session without one, as in tests, must be local and gets its own."""
+    """The folder that driver and executors share. A session without one, as in tests, must be local and gets its own, removed when the process ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="millaudit-llm-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _own_folder(spark.sparkContext.applicationId)
+    return base
+
+
+@functools.cache
+def _own_folder(application: str) -> str:
+    base = tempfile.mkdtemp(prefix="millaudit-llm-")
+    atexit.register(shutil.rmtree, base, ignore_errors=True)
     return base
 
 
