@@ -332,8 +332,10 @@ def _views(batch: pa.RecordBatch, features: Features) -> tuple[list, list]:
     return [features.content(t) for t in columns[0]], [features.metadata(*row) for row in zip(*columns)]
 
 
-def feature_rows(rows: DataFrame) -> DataFrame:
-    """(doc_id, quality, toxic, held, content, metadata) of documents, written once for all rounds."""
+def feature_rows(rows: DataFrame, carried: list[str]) -> DataFrame:
+    """(doc_id, quality, toxic, held, document, content, metadata) of documents, written once for all rounds and for the scores; document holds the carried columns."""
+
+    kept = ["doc_id", *TARGETS, "held", "document"]
 
     def run(batches):
         features = Features()
@@ -341,16 +343,19 @@ def feature_rows(rows: DataFrame) -> DataFrame:
             for at in range(0, whole.num_rows, CHUNK):
                 batch = whole.slice(at, CHUNK)
                 views = [pa.array([x.astype(np.uint32).tobytes() for x in view], pa.binary()) for view in _views(batch, features)]
-                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", *TARGETS, "held")], *views], names=["doc_id", *TARGETS, "held", "content", "metadata"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *views], names=[*kept, "content", "metadata"])
 
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLD == FOLD - 1
-    picked = rows.select("doc_id", "text", F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("bigint"), *[F.col(t).cast("double") for t in TARGETS], held.alias("held"))
-    kind = picked.schema["doc_id"].dataType.simpleString()
-    return written(picked.mapInArrow(run, f"doc_id {kind}, quality double, toxic double, held boolean, content binary, metadata binary"), "quality-features")
+    document = F.struct(*[F.col("document")[c].alias(c) for c in carried]).alias("document")
+    read = [F.col("document")[c].cast(kind).alias(c) for c, kind in (("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "bigint"))]
+    picked = rows.select("doc_id", *read, *[F.col(t).cast("double") for t in TARGETS], F.coalesce(held, F.lit(False)).alias("held"), document)
+    views = StructType().add("content", "binary").add("metadata", "binary")
+    schema = StructType([picked.schema[c] for c in kept] + list(views.fields))
+    return written(picked.mapInArrow(run, schema), "quality-features")
 
 
-def fit(documents: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS) -> Classifier:
-    """A classifier from at most ``labelled_rows`` labelled documents, those whose ids hash lowest, and all others without their labels.
+def labelled_rows(documents: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """(doc_id, quality, toxic, document): every document row as one value, with its labels if it is among the ``most`` whose ids hash lowest.
 
     A document with several label rows counts as bad if one of them says so. Null labels are left out.
     """
@@ -358,8 +363,18 @@ def fit(documents: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_R
         labels.where("doc_id is not null and quality is not null and toxic is not null")
         .groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     )
-    known = judged.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled_rows).select("doc_id", *[F.col(t).cast("int") for t in TARGETS])
-    rows = feature_rows(documents.where("doc_id is not null").drop(*TARGETS).join(F.broadcast(known), "doc_id", "left"))  # known is limited above
+    known = judged.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id", *[F.col(t).cast("int") for t in TARGETS])
+    return documents.select("doc_id", F.struct(*documents.columns).alias("document")).join(F.broadcast(known), "doc_id", "left")  # known is limited above
+
+
+def fit(documents: DataFrame, labels: DataFrame, most: int = LABELLED_ROWS) -> Classifier:
+    """A classifier from at most ``most`` labelled documents and all others without their labels."""
+    return trained(feature_rows(labelled_rows(documents, labels, most), ["doc_id"]))
+
+
+def trained(features: DataFrame) -> Classifier:
+    """A classifier from feature rows. Rows without a doc_id teach nothing."""
+    rows = features.where("doc_id is not null").drop("document")
     labelled = sorted(rows.where("quality is not null").toArrow().to_pylist(), key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), str(r["doc_id"]), r["content"]))
     both = tuple(Sample.of([np.frombuffer(r[c], np.uint32).astype(np.int64) for r in labelled]) for c in ("content", "metadata"))
     if not labelled:  # nothing was learned: every document passes
@@ -394,6 +409,30 @@ def scored(documents: DataFrame, classifier: Classifier) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def judged(documents: DataFrame, labels: DataFrame, carried: list[str] | None = None, most: int = LABELLED_ROWS) -> DataFrame:
+    """The carried columns of every document (all by default) with p_quality, p_toxic and kept, as ``scored`` with a classifier fitted on them gives.
+
+    Every text is split once: the classifier is trained from the written features, and the same features are scored.
+    """
+    carried = [c for c in carried or documents.columns if c not in ("p_quality", "p_toxic", "kept")]
+    rows = feature_rows(labelled_rows(documents, labels, most), carried)
+    handed = documents.sparkSession.sparkContext.broadcast(trained(rows))
+    picked = rows.select("document", "content", "metadata")
+    schema = StructType([picked.schema["document"]]).add("p_quality", "double").add("p_toxic", "double").add("kept", "boolean")
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, CHUNK):
+                batch = whole.slice(at, CHUNK)
+                views = [Sample.of([np.frombuffer(x, np.uint32).astype(np.int64) for x in batch.column(c).to_pylist()]) for c in ("content", "metadata")]
+                p = handed.value.scores(*views)
+                kept = (p["quality"] >= 0.5) & (p["toxic"] < 0.5)
+                yield pa.RecordBatch.from_arrays([batch.column("document"), pa.array(p["quality"]), pa.array(p["toxic"]), pa.array(kept)], names=schema.names)
+
+    return picked.mapInArrow(run, schema).select("document.*", "p_quality", "p_toxic", "kept")
+
+
 def accepted(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents the classifier keeps, with the columns they came with."""
-    return scored(documents, fit(documents, labels)).where("kept").select(*documents.columns)
+    named = documents.toDF(*[f"_{i}_{c}" if c in ("p_quality", "p_toxic", "kept") else c for i, c in enumerate(documents.columns)])
+    return judged(named, labels).where("kept").select(*named.columns).toDF(*documents.columns)

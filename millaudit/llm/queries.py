@@ -57,7 +57,7 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    return quality.scored(documents, quality.fit(documents, table(spark, sf_dir, "labels"))).select("doc_id", "p_quality", "p_toxic", "kept")
+    return quality.judged(documents, table(spark, sf_dir, "labels"), ["doc_id"])
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
