@@ -33,8 +33,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of all documents and their places in sequences."""
-    return packing.pack_documents(docs, PACKING_VOCABULARY)
+    """Token pieces of all documents with their ids, and their places in sequences."""
+    return packing.pack_documents(docs, PACKING_VOCABULARY, with_ids=True)
 
 
 STAGES = [
