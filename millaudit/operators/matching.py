@@ -14,6 +14,7 @@ from millaudit.functions import codes
 from millaudit.functions.text import (
     col, composite_synonym, guarded_contains, is_composite, name_core, name_parts, strip, without_blanks,
 )
+from millaudit.session import stored
 
 KEY = 32
 LEAST = 3
@@ -189,6 +190,45 @@ def synonym_items(missing: DataFrame, extra: DataFrame, pairs: DataFrame) -> Dat
     return candidates.join(extra.select("report_id", "item"), ["report_id", "item"]).select("report_id", "name", "item")
 
 
+def one_to_one(candidates: DataFrame) -> DataFrame:
+    """Each open name takes the first item that matches and is not taken yet, in the order of the names; every item is taken once.
+
+    candidates: (report_id, name, rule_pos, item, pos), the matches of a report's open names with its items, order columns not null. A name that is the first of
+    all that want an item, and wants it before all others, gets it for sure; so rounds of such mutual first choices give what going through the
+    names one by one would. A round is two grouped minima and their joins; each report ends a name at least in every
+    round, most in the first.
+    """
+    spark = candidates.sparkSession
+    left = stored(spark, candidates.select("report_id", "name", "rule_pos", "item", "pos").distinct(), "candidates")
+    taken = None
+    while not left.isEmpty():
+        wants = left.groupBy("report_id", "rule_pos", "name").agg(F.min(F.struct("pos", "item")).alias("first"))
+        gives = left.groupBy("report_id", "pos", "item").agg(F.min(F.struct("rule_pos", "name")).alias("best"))
+        pairs = wants.select("report_id", "rule_pos", "name", "first.pos", "first.item").join(
+            gives.select("report_id", "pos", "item", "best.rule_pos", "best.name"), ["report_id", "pos", "item", "rule_pos", "name"]
+        )
+        pairs = stored(spark, pairs.select(*left.columns), "pairs")
+        taken = pairs if taken is None else taken.unionByName(pairs)
+        left = left.join(pairs.select("report_id", "rule_pos", "name"), ["report_id", "rule_pos", "name"], "left_anti")
+        left = stored(spark, left.join(pairs.select("report_id", "pos", "item"), ["report_id", "pos", "item"], "left_anti"), "candidates")
+    return left.select("report_id", "name", "item") if taken is None else taken.select("report_id", "name", "item")
+
+
+def reconciled(missing: DataFrame, extra: DataFrame, pairs: DataFrame) -> dict[str, DataFrame]:
+    """Missing names and extra items that name the same, one to one: what is matched so, and what stays missing and extra.
+
+    missing: (report_id, category, name, rule_pos, …); extra: (report_id, category, item, pos); pairs: (category, report_name, item_name). Lists that the
+    same pairs made have nothing left to match; lists from elsewhere (stored reports, other rule books, an earlier round of names) do.
+    """
+    met = missing.join(pairs.select("category", F.col("item_name").alias("name"), F.col("report_name").alias("item")), ["category", "name"])
+    found = one_to_one(met.join(extra.select("report_id", "item", "pos"), ["report_id", "item"]))
+    return {
+        "matched": found.withColumn("match_type", F.lit("synonym")),
+        "missing": missing.join(found.select("report_id", "name"), ["report_id", "name"], "left_anti"),
+        "extra": extra.join(found.select("report_id", "item"), ["report_id", "item"], "left_anti"),
+    }
+
+
 # --- methods and bases --------------------------------------------------------------------------
 
 def method_issues(matched: DataFrame) -> DataFrame:

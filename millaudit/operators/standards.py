@@ -50,31 +50,38 @@ def distinct_requests(requests: DataFrame) -> DataFrame:
     return requests.select("code", "production_date").distinct()
 
 
-def verdicts(requests: DataFrame, registry: DataFrame, strict: bool = True) -> DataFrame:
-    """One verdict per (code, production_date).
+def looked_up(requests: DataFrame, registry: DataFrame) -> DataFrame:
+    """The requests with the record of their standard, row by row; nulls where the registry has none.
 
-    registry: (code, publish_date, implement_date, abolish_date, status, detail_url), joined on the
-    standard number with year. Of several rows of one number, the one whose code equals the asked code counts, else
-    the first by code and dates.
+    registry: (code, publish_date, implement_date, abolish_date, status, detail_url), joined on the standard number with year. Of several rows of one
+    number, the one whose code equals the asked code counts, else the first by code and dates. The registry is reduced before the join, once per
+    number and once per number and code, so requests may be a stream.
     """
-    asked = distinct_requests(requests).withColumn("_number", codes.standard_number("code"))
     fields = ["publish_date", "implement_date", "abolish_date", "record_status", "detail_url"]
+    order = ["_code", "implement_date", "publish_date", "abolish_date", "record_status", "detail_url"]
+
+    def plain(c):
+        return F.upper(F.regexp_replace(c, r"\s", ""))
+
     known = registry.select(
         codes.standard_number("code").alias("_number"), F.col("code").alias("_code"), "publish_date", "implement_date", "abolish_date",
         F.col("status").alias("record_status"), "detail_url",
     )
+    first = known.groupBy("_number").agg(F.min_by(F.struct(*fields), F.struct(*order)).alias("_first"), F.count("*").alias("_rows"))
+    several = known.join(first.where("_rows > 1").select("_number"), "_number", "left_semi")
+    equal = several.groupBy("_number", plain(F.col("_code")).alias("_plain")).agg(F.min_by(F.struct(*fields), F.struct(*order)).alias("_equal"))
+    asked = requests.withColumn("_number", codes.standard_number("code")).withColumn("_plain", plain(F.col("code")))
+    found = asked.join(first, "_number", "left").join(equal, ["_number", "_plain"], "left").withColumn("_record", F.coalesce("_equal", "_first"))
+    return found.select(*requests.columns, "_record.*")
 
-    def plain(c):
-        return F.upper(F.regexp_replace(c, r"\s", ""))
 
-    other = F.coalesce(plain(F.col("_code")) != plain(F.col("code")), F.lit(True))
-    one = F.min_by(F.struct(*fields), F.struct(other, "_code", "implement_date", "publish_date", "abolish_date", "record_status", "detail_url"))
-    found = asked.join(known, "_number", "left").groupBy("code", "production_date").agg(one.alias("_record"))
-    return judged(found.select("code", "production_date", "_record.*"), strict)
+def verdicts(requests: DataFrame, registry: DataFrame, strict: bool = True) -> DataFrame:
+    """One verdict per (code, production_date), by the records that ``looked_up`` finds."""
+    return judged(looked_up(distinct_requests(requests), registry), strict)
 
 
-def judged(records: DataFrame, strict: bool = True) -> DataFrame:
-    """Verdict of rows (code, production_date, record_status, publish_date, implement_date, abolish_date, detail_url)."""
+def judged(records: DataFrame, strict: bool = True, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Verdict of rows (code, production_date, record_status, publish_date, implement_date, abolish_date, detail_url), with the carried columns."""
     staged = (
         records.withColumn("_empty", is_empty_record())
         .withColumn("_status", inferred_status("record_status", "implement_date", "abolish_date"))
@@ -120,7 +127,7 @@ def judged(records: DataFrame, strict: bool = True) -> DataFrame:
             "error",
             F.when(F.col("_empty"), "extraction_empty").when(unreadable, "invalid date format"),
         )
-        .select("code", "production_date", *VERDICT_FIELDS)
+        .select("code", "production_date", *carried, *VERDICT_FIELDS)
     )
 
 

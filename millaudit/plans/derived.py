@@ -114,6 +114,8 @@ def check_sql(text: str) -> str:
     text = text.strip()
     if not parts:
         return text
+    if text.upper().startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ",\n".join(parts) + ",\n" + text[15:]
     if text.upper().startswith("WITH "):
         return "WITH " + ",\n".join(parts) + ",\n" + text[5:]
     return "WITH " + ",\n".join(parts) + "\n" + text

@@ -145,6 +145,22 @@ def synonym_items(spark, sf):
     return matching.synonym_items(open_, matching.extra_items(last_reported(spark, sf), known), known)
 
 
+@query("j4_one_to_one", f"""WITH RECURSIVE {MATCHED},
+  e AS (SELECT l.report_id, r.item_name AS name, r.rule_pos, l.item, l.pos, dense_rank() OVER (PARTITION BY l.report_id ORDER BY r.rule_pos, r.item_name) AS turn
+    FROM last_item l JOIN pair p ON p.category = l.category AND p.report_name = l.item JOIN rule1 r ON r.category = p.category AND r.item_name = p.item_name),
+  walk AS (SELECT report_id, 0::BIGINT AS turn, []::VARCHAR[] AS used, NULL::VARCHAR AS name, NULL::VARCHAR AS item FROM (SELECT DISTINCT report_id FROM e)
+    UNION ALL
+    SELECT report_id, turn, CASE WHEN got IS NULL THEN used ELSE list_append(used, got) END, name, got FROM (
+      SELECT w.report_id, e.turn, any_value(w.used) AS used, any_value(e.name) AS name, arg_min(e.item, e.pos) FILTER (NOT list_contains(w.used, e.item)) AS got
+      FROM (SELECT *, turn + 1 AS next FROM walk) w JOIN e ON e.report_id = w.report_id AND e.turn = w.next GROUP BY w.report_id, e.turn))
+  SELECT report_id, name, item FROM walk WHERE item IS NOT NULL""")
+def one_to_one(spark, sf):
+    """Required names in rule order each take the first reported item that matches and is still free."""
+    wanted = rules(spark, sf).select("category", F.col("item_name"), F.col("pos").alias("rule_pos"))
+    met = last_reported(spark, sf).withColumnRenamed("item", "report_name").join(pairs(spark, sf), ["category", "report_name"]).join(wanted, ["category", "item_name"])
+    return matching.one_to_one(met.select("report_id", F.col("item_name").alias("name"), "rule_pos", F.col("report_name").alias("item"), "pos"))
+
+
 @query("f11_method_issues", f"WITH {ISSUES} SELECT report_id, item, rule_pos FROM method_issue")
 def method_issues(spark, sf):
     """Matched items whose method does not satisfy the rule."""

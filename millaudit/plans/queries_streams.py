@@ -10,7 +10,7 @@ from millaudit.plans.derived import DERIVED, derived
 from millaudit.plans.registry import CHECKS, query
 from millaudit.session import table, work_folder
 from millaudit.sources.store import VerdictStore
-from millaudit.streaming import jobs
+from millaudit.streaming import jobs, reuse
 
 STORE_SCHEMA = (
     "code string, production_date string, passed boolean, status string, status_text string, publish_date string, "
@@ -18,6 +18,17 @@ STORE_SCHEMA = (
 )
 
 
+def _stream_in_order(spark, rows, order, name, files=4):
+    """Rows as a stream of files in the order of a column, one a micro-batch; files are written one after another, as they are read by their age."""
+    path = work_folder(spark, f"arriving-{name}")
+    lo, hi = rows.agg(F.min(order), F.max(order)).first()
+    step = max(1, (hi - lo) // files + 1) if lo is not None else 1
+    for k in range(files):
+        at = F.floor((F.col(order) - F.lit(lo or 0)) / step)
+        rows.where(at == k).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def _stream(spark, sf, name):
     """A given table as a stream of several files, one a micro-batch; the same keys come in several of them."""
     rows, path = table(spark, sf, name), work_folder(spark, f"arriving-{name}")
@@ -57,3 +68,36 @@ def verdict_reuse(spark, sf):
 
 
 CHECKS["x2_verdict_reuse"] = CHECKS["e2_validate_standards"]
+
+
+_STORE_OFFSET = 3980800  # brings the derived store to the day before the first request
+
+_REUSED = """WITH RECURSIVE """ + QS._JUDGED.replace(
+    "SELECT DISTINCT c.code, r.production_date FROM d_cited c JOIN d_report r USING (report_id)", "SELECT DISTINCT code, production_date FROM d_request"
+) + f""",
+store AS (SELECT code, production_date, max(CAST((ts + {_STORE_OFFSET}) * 1000000 AS BIGINT)) AS since, max_by(passed, ts) AS passed, max_by(status, ts) AS status FROM d_store GROUP BY ALL),
+asked AS (SELECT code, production_date, epoch_us(asked) AS t, row_number() OVER (PARTITION BY code, production_date ORDER BY asked) AS n FROM d_request),
+walk AS (
+    SELECT k.code, k.production_date, 0::BIGINT AS n, s.since, s.passed, s.status FROM (SELECT DISTINCT code, production_date FROM d_request) k LEFT JOIN store s USING (code, production_date)
+    UNION ALL
+    SELECT w.code, w.production_date, x.n, CASE WHEN kept THEN w.since ELSE x.t END, CASE WHEN kept THEN w.passed ELSE v.passed END, CASE WHEN kept THEN w.status ELSE v.status END
+    FROM (SELECT *, n + 1 AS next FROM walk) w JOIN asked x ON x.code = w.code AND x.production_date = w.production_date AND x.n = w.next
+    JOIN verdict v ON v.code = w.code AND v.production_date = w.production_date,
+    LATERAL (SELECT coalesce(x.t - w.since < CASE WHEN w.status = 'error' THEN 3600000000 ELSE 86400000000 END, false) AS kept))
+SELECT code, production_date, since AS judged_at, passed, status, count(*) AS answered FROM walk WHERE n > 0 GROUP BY ALL"""
+
+
+@query("x2_verdict_state", _REUSED)
+def verdict_state(spark, sf):
+    """Requests in the order they were asked, answered from keyed state that begins with a store: which verdict answered how many."""
+    out, checkpoint = work_folder(spark, "reuse"), work_folder(spark, "reuse-state")
+    requests = derived(spark, sf, "d_request").select("code", "production_date", F.unix_micros(F.col("asked").cast("timestamp")).alias("asked"))
+    old = QS._store(spark, sf).select(
+        "code", "production_date", ((F.col("ts") + _STORE_OFFSET) * reuse.SECOND).cast("bigint").alias("judged_at"), "passed", "status",
+        *[F.lit("").alias("status_text")], *[F.lit(None).cast("string").alias(c) for c in ["publish_date", "implement_date", "abolish_date", "detail_url"]],
+        F.array().cast("array<string>").alias("reasons"), F.lit(None).cast("string").alias("error"),
+    )
+    stream = _stream_in_order(spark, requests, "asked", "requests")
+    reuse.run_reuse(stream, derived(spark, sf, "d_standard"), old, out, checkpoint).awaitTermination()
+    answers = spark.read.parquet(out)
+    return answers.groupBy("code", "production_date", "judged_at", "passed", "status").agg(F.sum("answered").alias("answered"))
