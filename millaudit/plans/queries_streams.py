@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millaudit.operators import limits
-from millaudit.plans import queries_limits as QL, queries_standards as QS
+from millaudit.plans import audit, queries_limits as QL, queries_lines, queries_standards as QS
 from millaudit.plans.derived import DERIVED, derived
 from millaudit.plans.registry import CHECKS, query
 from millaudit.session import table, work_folder
 from millaudit.sources.store import VerdictStore
-from millaudit.streaming import jobs, reuse
+from millaudit.streaming import jobs, reports, reuse
 
 STORE_SCHEMA = (
     "code string, production_date string, passed boolean, status string, status_text string, publish_date string, "
@@ -48,6 +48,31 @@ def report_arrivals(spark, sf):
     return rows.select("report_id", "line", "part", "supp", "item", "value", "limit", "limit_rule", "limit_issue")
 
 
+def audited_stream(spark, sf):
+    """All report pages in two batches, the first with an older version of every third report: the merged tables of what they say."""
+    pages = queries_lines.report_pages(spark, sf)
+    o = F.col("report_id")
+    now = pages.select("report_id", F.lit(1).alias("version"), "page", "text_lines", "tables", (o % 2).alias("batch"))
+    old = pages.where(o % 3 == 0).select(
+        "report_id", F.lit(0).alias("version"), "page", F.array(F.lit("样品名称：旧"), F.lit("检验结论：符合GB 1-1999要求")).alias("text_lines"), "tables", F.lit(0).cast("long").alias("batch")
+    )
+    both, path = now.unionByName(old), work_folder(spark, "arriving-pages")
+    for k in (0, 1):
+        both.where(F.col("batch") == k).drop("batch").coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(both.drop("batch").schema).option("maxFilesPerTrigger", 1).parquet(path)
+    registry = derived(spark, sf, "d_standard")
+    kept = reports.AuditedReports(spark, work_folder(spark, "audited"), ("summary", "cited", "items", "verdicts"), buckets=8)
+    reports.run_audits(stream, lambda some: audit.read_reports(spark, some, registry), kept, work_folder(spark, "audited-state")).awaitTermination()
+    return kept
+
+
+@query("x1_audited_reports", """SELECT report_id, 'GB ' || CAST(2000 + report_id % 50 AS VARCHAR) || '-2021' AS code FROM d_report UNION ALL SELECT report_id, 'GB/T ' || CAST(5000 + report_id % 30 AS VARCHAR) FROM d_report
+  UNION ALL SELECT report_id, 'GB 77-2001' FROM d_report WHERE report_id % 4 = 0""")
+def audited_reports(spark, sf):
+    """Codes that arriving reports cite, read, judged and merged by report: no code of a replaced version, none twice."""
+    return audited_stream(spark, sf).read("cited").select("report_id", "code")
+
+
 @query("x2_verdict_reuse")
 def verdict_reuse(spark, sf):
     """Requests arriving in micro-batches, answered from the verdict store the batches before left; equals the batch result."""

@@ -13,7 +13,7 @@ from millaudit.sources.keyed import KeyedTable
 
 PAGES = "report_id, version, page, text_lines, tables".split(", ")
 #: The tables of an audit that are kept by report.
-LISTS = ("summary", "issues", "items", "matched", "unmatched", "extra", "evidence", "verdicts")
+LISTS = ("summary", "issues", "cited", "items", "matched", "unmatched", "extra", "evidence", "verdicts")
 
 
 class AuditedReports:
