@@ -11,6 +11,7 @@ from millaudit.plans.registry import query
 from millaudit.plans.sql_parts import standard_number
 from millaudit.session import table, work_folder
 from millaudit.sources import reports, sinks
+from millaudit.sources.keyed import KeyedTable
 from millaudit.sources.store import VerdictStore
 
 
@@ -177,3 +178,52 @@ def result_json(spark, sf):
     back = spark.read.schema("report_id long, part long, entries array<string>").json(f"{path}/items")
     each = back.select("report_id", "part", F.explode("entries").alias("e")).withColumn("item", F.get_json_object("e", "$.item"))
     return each.groupBy("report_id", "part").agg(F.count("*").alias("n"), F.min("item").alias("first_item"))
+
+
+@query("s5_catalogue_places", f"WITH {_FILES} SELECT *, row_number() OVER (PARTITION BY tab ORDER BY name) AS place, count(*) OVER (PARTITION BY tab) AS n FROM s")
+def catalogue_places(spark, sf):
+    """Catalogue in name order: each file's place in its tab beside the tab's number of files."""
+    return reports.in_name_order(_catalogue(spark, sf))
+
+
+@query("s6_search_counts", f"WITH {_FILES} SELECT tab, count(*) AS total, count(*) FILTER (contains(lower(name), 'fr_1')) AS hits FROM s GROUP BY 1")
+def search_counts(spark, sf):
+    """Files and hits of a name search per tab."""
+    return reports.search_counts(_catalogue(spark, sf), "FR_1")
+
+
+@query("s7_labelled_files", """SELECT CASE WHEN l_suppkey % 4 <> 0 THEN CAST(l_partkey AS VARCHAR) || '-2021' END AS gb_number, CASE WHEN l_suppkey % 4 <> 0 THEN '2021-5-' || CAST(1 + l_suppkey % 28 AS VARCHAR) END AS production_date, count(*) AS n FROM lineitem GROUP BY 1, 2""")
+def labelled_files(spark, sf):
+    """Labelled lines written as text files and read from them."""
+    path = work_folder(spark, "labelled")
+    line = F.concat(
+        F.lit(" 国标编号： GB "), F.col("l_partkey").cast("string"), F.lit("-2021；"),
+        F.when(F.col("l_suppkey") % 4 != 0, F.concat(F.lit("生产日期：2021-5-"), (1 + F.col("l_suppkey") % 28).cast("string"))).otherwise("日期不明"),
+    )
+    table(spark, sf, "lineitem").select(line.alias("value")).write.text(path)
+    return reports.read_labelled_lines(spark, path).groupBy("gb_number", "production_date").agg(F.count("*").alias("n"))
+
+
+@query("s9_config_files", """SELECT DISTINCT p_type || '/' || p_brand AS category, p_name AS item, 'q ' || p_brand AS query, 'GB ' || CAST(min(p_size) AS VARCHAR) AS standard FROM part GROUP BY p_type, p_brand, p_name""")
+def config_files(spark, sf):
+    """Configuration files, one nested text per category, written and read from disk."""
+    path = work_folder(spark, "config")
+    item = F.concat(F.lit('"'), F.col("p_name"), F.lit('": {"query": "q '), F.col("p_brand"), F.lit('", "standard": "GB '), F.col("size").cast("string"), F.lit('"}'))
+    items = table(spark, sf, "part").groupBy("p_type", "p_brand", "p_name").agg(F.min("p_size").alias("size"))
+    # A configuration text names the items of one category: as many as the rule book gives it.
+    texts = items.groupBy("p_type", "p_brand").agg(F.concat(
+        F.lit('{"'), F.col("p_type"), F.lit("/"), F.col("p_brand"), F.lit('": {'), F.array_join(F.array_sort(F.collect_list(item)), ", "), F.lit("}}")).alias("value"))
+    texts.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return reports.read_query_config(spark, path)
+
+
+@query("s11_keyed_store", """SELECT code, production_date, CAST(passed AS BOOLEAN) AS passed, CASE WHEN code LIKE '%1-2016' THEN 'again' ELSE status END AS status, CAST(ts AS DOUBLE) AS ts FROM d_store WHERE code NOT LIKE '%2-2016'""")
+def keyed_store(spark, sf):
+    """Verdict store as a log: written, some keys written again, some taken out, compacted, cleared of old files and read."""
+    store = KeyedTable(spark, work_folder(spark, "keyed-store"), ["code", "production_date"], "code string, production_date string, passed boolean, status string, ts double", 8)
+    rows = QS._store(spark, sf)
+    store.write(rows, 0)
+    store.write(rows.where("code LIKE '%1-2016'").withColumn("status", F.lit("again")), 1, gone=rows.where("code LIKE '%2-2016'"))
+    store.compact(2)
+    store.vacuum(keep=1)
+    return store.read()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millaudit.functions.text import strip
+from millaudit.operators.common import block_positions
 
 PAGE_SCHEMA = "report_id string, page int, text_lines array<string>, tables array<array<array<string>>>"
 REQUEST_SCHEMA = "summary struct<food_name:string,production_date:string,gb_codes:array<string>>"
@@ -115,6 +116,21 @@ def catalogue_counts(files: DataFrame) -> DataFrame:
     return files.groupBy("tab").agg(F.count("*").alias("n"))
 
 
+def in_name_order(files: DataFrame, block: int = 6) -> DataFrame:
+    """Catalogue rows with their place in the name order of their tab and the tab's number of files.
+
+    Places are counted by blocks of names with equal beginnings, so that no tab is sorted in one task.
+    """
+    beginnings = files.withColumn("_begin", F.substring("name", 1, block))
+    placed = block_positions(beginnings, ["tab"], ["_begin"], ["name"], "place").drop("_begin")
+    return placed.join(catalogue_counts(files), "tab")
+
+
+def search_counts(files: DataFrame, text: str) -> DataFrame:
+    """Per tab how many files there are in all and how many hold the text in their name."""
+    return files.groupBy("tab").agg(F.count("*").alias("total"), F.count_if(F.contains(F.lower("name"), F.lit(text.lower()))).alias("hits"))
+
+
 def searched(files: DataFrame, text: str) -> DataFrame:
     """Files whose name holds the text, in any case."""
     return files.where(F.contains(F.lower("name"), F.lit(text.lower())))
