@@ -35,10 +35,18 @@ def vocabulary(path: str) -> list[str]:
     return [model.id_to_piece(i) for i in ids if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
 
 
+def _letter_runs(text: str) -> list[str]:
+    """Runs of letters, as the training sample takes them: numerals such as ½ and ② count as word characters to the pattern but are none."""
+    found = _LETTERS.findall(text)
+    if all(map(str.isalpha, found)):
+        return found
+    return [run for w in found for run in "".join(c if c.isalpha() else " " for c in w).split()]
+
+
 def words_of(text: str | None) -> list[str]:
     """Runs of letters in lower case, each behind the start mark; a longer run in stretches that are all scored."""
     out = []
-    for w in _LETTERS.findall((text or "").lower()):
+    for w in _letter_runs((text or "").lower()):
         if len(w) <= STRETCH:
             out.append(_START + w)
         else:
