@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from millaudit.llm.common import Words, bit_place, bitmap, gathered_bitmap, has_bit, mixed, row_groups, sequence_hashes, written
-from millaudit.llm.graph import components
+from millaudit.llm.graph import components, fitted_shuffles
 
 #: Words of a shingle, and the similarity that links, in hundredths.
 SHINGLE = 5
@@ -247,6 +247,10 @@ def held_elsewhere(shingles: DataFrame, slots: int = SLOTS) -> DataFrame:
     return shingles.mapInArrow(count, "set_id bigint, elsewhere array<bigint>")
 
 
+#: Members of a bucket in one block.
+TILE = 1024
+
+
 def set_links(documents: DataFrame, sets: DataFrame, first_links: DataFrame, k: int = SHINGLE, link: int = LINK) -> DataFrame:
     """(node, root) over set ids: every link between different sets is confirmed or lies inside a component.
 
@@ -259,37 +263,62 @@ def set_links(documents: DataFrame, sets: DataFrame, first_links: DataFrame, k:
     keys = bands(sets)
     buckets = keys.groupBy("key").agg(F.min("set_id").alias("first"), F.max("set_id").alias("last")).where("first < last")
     shared = written(keys.join(buckets.select("key", "first"), "key").select("key", "set_id", "first"), "shared")
-    near = written(sets.join(shared.select("set_id").distinct(), "set_id", "left_semi"), "near")
-    shingles = written(full_sets(documents, near.select("set_id", "doc_id"), k), "shingles")
-
-    def check(pairs):
-        return confirmed(likely(pairs, near, link), shingles, link)
-
-    stars = shared.where("set_id <> first").select(F.col("first").alias("a"), F.col("set_id").alias("b"))
-    links = written(check(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")), "links")
-    parents = links.select(F.col("b").alias("node"), F.col("a").alias("root"))  # one smaller partner each
-    apart = _labelled(_labelled(stars.distinct(), parents, "a"), parents, "b").where("a_root <> b_root and a <> b_root").select("a", "b")
-    labels = components(links.unionByName(check(apart)).unionByName(first_links))
-
-    open_members = written(_open(shared.select("key", "set_id"), labels), "open")
-    elsewhere = held_elsewhere(shingles.join(open_members.select("set_id").distinct(), "set_id", "left_semi"))
-    total = F.aggregate("elsewhere", F.lit(0).cast("bigint"), lambda s, x: s + x)
-    able = near.select("set_id", "n_shingles").join(elsewhere.withColumn("total", total), "set_id").where(f"100 * total >= {link} * n_shingles")
-    rest = _several_roots(open_members.join(able, "set_id"))
-    rest = written(rest.join(rest.groupBy("set_id").agg(F.collect_set("key").alias("keys")), "set_id"), "rest")  # at most one key per band
-    left = rest.toDF(*["key" if c == "key" else f"a_{c}" for c in rest.columns])
-    right = rest.toDF(*["key" if c == "key" else f"b_{c}" for c in rest.columns])
-    common = F.aggregate(F.zip_with("a_elsewhere", "b_elsewhere", lambda x, y: F.least(x, y)), F.lit(0).cast("bigint"), lambda s, x: s + x)
-    needed = link * (F.col("a_n_shingles") + F.col("b_n_shingles"))
-    across = (
-        left.join(right, "key")
-        .where("a_set_id < b_set_id and a_set_id_root <> b_set_id_root")
-        .where(((100 + link) * F.least("a_total", "b_total") >= needed) & ((100 + link) * common >= needed))
-        .where(F.col("key") == F.array_min(F.array_intersect("a_keys", "b_keys")))  # once per pair
-        .select(F.col("a_set_id").alias("a"), F.col("b_set_id").alias("b"))
+    with fitted_shuffles(documents.sparkSession, shared.count()):  # a set is there once per band it shares, so a task holds few sets
+        near = written(sets.join(shared.select("set_id").distinct(), "set_id", "left_semi"), "near")
+        shingles = written(full_sets(documents, near.select("set_id", "doc_id"), k), "shingles")
+
+        def check(pairs):
+            return confirmed(likely(pairs, near, link), shingles, link)
+
+        stars = shared.where("set_id <> first").select(F.col("first").alias("a"), F.col("set_id").alias("b"))
+        links = written(check(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")), "links")
+        parents = links.select(F.col("b").alias("node"), F.col("a").alias("root"))  # one smaller partner each
+        apart = _labelled(_labelled(stars.distinct(), parents, "a"), parents, "b").where("a_root <> b_root and a <> b_root").select("a", "b")
+        labels = components(links.unionByName(check(apart)).unionByName(first_links))
+
+        open_members = written(_open(shared.select("key", "set_id"), labels), "open")
+        elsewhere = held_elsewhere(shingles.join(open_members.select("set_id").distinct(), "set_id", "left_semi"))
+        total = F.aggregate("elsewhere", F.lit(0).cast("bigint"), lambda s, x: s + x)
+        able = near.select("set_id", "n_shingles").join(elsewhere.withColumn("total", total), "set_id").where(f"100 * total >= {link} * n_shingles")
+        rest = _several_roots(open_members.join(able, "set_id"))
+        across = able_pairs(written(rest, "rest"), link)
+        old = labels.select(F.col("root").alias("a"), F.col("node").alias("b"))
+        return components(check(written(across, "across")).unionByName(old))
+
+
+def able_pairs(members: DataFrame, link: int) -> DataFrame:
+    """(a, b), once each: pairs in a bucket whose components differ and whose shingles that occur elsewhere allow the link.
+
+    members: (key, set_id, set_id_root, n_shingles, total, elsewhere). A bucket's members are dealt to blocks of about TILE and every two blocks
+    meet in a task, which compares their counts as matrices, a few rows at a time; only pairs that pass leave it.
+    """
+    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
+    dealt = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    tiles = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set_id", "set_id_root", "n_shingles", "total", "elsewhere"
     )
-    old = labels.select(F.col("root").alias("a"), F.col("node").alias("b"))
-    return components(check(across).unionByName(old))
+
+    def compare(tile: pa.Table) -> pa.Table:
+        tile = tile.combine_chunks()
+        block, sets, root, size, total = (tile.column(c).to_numpy() for c in ("block", "set_id", "set_id_root", "n_shingles", "total"))
+        counts = tile.column("elsewhere").combine_chunks().flatten().to_numpy().reshape(-1, PROFILE).astype(np.int32)
+        i, j = tile.column("i")[0].as_py(), tile.column("j")[0].as_py()
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        found = [np.zeros((0, 2), np.int64)]
+        for at in range(0, left.size, 64):
+            some = left[at : at + 64]
+            needed = link * (size[some][:, None] + size[right][None, :])
+            may = (root[some][:, None] != root[right][None, :]) & ((100 + link) * np.minimum(total[some][:, None], total[right][None, :]) >= needed)
+            if i == j:
+                may &= some[:, None] < right[None, :]
+            if may.any():
+                common = np.minimum(counts[some][:, None, :], counts[right][None, :, :]).sum(2)
+                x, y = np.nonzero(may & ((100 + link) * common >= needed))
+                found.append(np.sort(np.column_stack((sets[some[x]], sets[right[y]])), axis=1))
+        both = np.concatenate(found)
+        return pa.table({"a": both[:, 0], "b": both[:, 1]})
+
+    return tiles.groupBy("key", "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
 
 
 def _several_roots(members: DataFrame) -> DataFrame:
