@@ -144,6 +144,13 @@ def bands(sets: DataFrame) -> DataFrame:
     return sets.select("set_id", "registers").mapInArrow(run, "key bigint, set_id bigint")
 
 
+def _may_link(a: np.ndarray, b: np.ndarray, link: int) -> np.ndarray:
+    """Which register rows have an estimate that does not rule the link out."""
+    share, used = estimate(a, b)
+    t = link / 100
+    return share >= t - ERRORS * np.sqrt(t * (1 - t) / np.maximum(used, 1))
+
+
 def likely(pairs: DataFrame, sets: DataFrame, link: int = LINK) -> DataFrame:
     """The pairs (a, b) whose estimate does not rule the link out."""
     regs = sets.select("set_id", "registers")
@@ -152,10 +159,7 @@ def likely(pairs: DataFrame, sets: DataFrame, link: int = LINK) -> DataFrame:
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                share, used = estimate(_regs(batch.column("left")), _regs(batch.column("right")))
-                t = link / 100
-                keep = share >= t - ERRORS * np.sqrt(t * (1 - t) / np.maximum(used, 1))
-                yield batch.select(["a", "b"]).filter(pa.array(keep))
+                yield batch.select(["a", "b"]).filter(pa.array(_may_link(_regs(batch.column("left")), _regs(batch.column("right")), link)))
 
     return joined.mapInArrow(run, "a bigint, b bigint")
 
@@ -187,23 +191,25 @@ def full_sets(documents: DataFrame, wanted: DataFrame, k: int = SHINGLE) -> Data
     return built.join(wanted, ["set_id", "doc_id"], "left_semi").select("set_id", "shingles")
 
 
+def linked(x: np.ndarray, y: np.ndarray, link: int = LINK) -> bool:
+    """100 * intersection >= link * union of two sorted sets."""
+    if x.size > y.size:
+        x, y = y, x
+    if 100 * x.size < link * y.size:
+        return False
+    place = np.minimum(np.searchsorted(y, x), y.size - 1)
+    common = int((y[place] == x).sum())
+    return 100 * common >= link * (x.size + y.size - common)
+
+
 def confirmed(pairs: DataFrame, shingles: DataFrame, link: int = LINK) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= link * union of the full sets."""
     joined = pairs.join(shingles.toDF("b", "right"), "b").join(shingles.toDF("a", "left"), "a").select("a", "b", "left", "right")
 
     def run(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if x.size > y.size:
-                    x, y = y, x
-                if 100 * x.size < link * y.size:
-                    keep.append(False)
-                    continue
-                place = np.minimum(np.searchsorted(y, x), y.size - 1)
-                common = int((y[place] == x).sum())
-                keep.append(100 * common >= link * (x.size + y.size - common))
+            both = zip(batch.column("left").to_pylist(), batch.column("right").to_pylist())
+            keep = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), link) for x, y in both]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return joined.mapInArrow(run, "a bigint, b bigint").distinct()
@@ -247,8 +253,8 @@ def held_elsewhere(shingles: DataFrame, slots: int = SLOTS) -> DataFrame:
     return shingles.mapInArrow(count, "set_id bigint, elsewhere array<bigint>")
 
 
-#: Members of a bucket in one block.
-TILE = 1024
+#: Members of a bucket in one block, and shingles that they hold elsewhere (8 bytes each).
+TILE, TILE_SHINGLES = 1024, 2_000_000
 
 
 def set_links(documents: DataFrame, sets: DataFrame, first_links: DataFrame, k: int = SHINGLE, link: int = LINK) -> DataFrame:
@@ -256,7 +262,8 @@ def set_links(documents: DataFrame, sets: DataFrame, first_links: DataFrame, k:
 
     In a bucket of equal bands, members are compared with the bucket's smallest set first: one smallest partner per set, then the partners
     of all its buckets. What is left are pairs in a bucket whose components still differ; of those, only pairs that can reach
-    the link at all are compared: their shingles that occur elsewhere, counted by parts of the hashes, must allow it. So
+    the link at all are compared: their shingles that occur elsewhere, counted by parts of the hashes, must allow it. These
+    are compared where their bucket's members meet, so that a task sends on the links that join components and no pairs. So
     a bucket of many copies costs about as many comparisons as it has members, and no pair that could join two
     components is left out.
     """
@@ -279,32 +286,37 @@ def set_links(documents: DataFrame, sets: DataFrame, first_links: DataFrame, k:
         open_members = written(_open(shared.select("key", "set_id"), labels), "open")
         elsewhere = held_elsewhere(shingles.join(open_members.select("set_id").distinct(), "set_id", "left_semi"))
         total = F.aggregate("elsewhere", F.lit(0).cast("bigint"), lambda s, x: s + x)
-        able = near.select("set_id", "n_shingles").join(elsewhere.withColumn("total", total), "set_id").where(f"100 * total >= {link} * n_shingles")
+        able = near.select("set_id", "n_shingles", "registers").join(elsewhere.withColumn("total", total), "set_id").where(f"100 * total >= {link} * n_shingles")
         rest = _several_roots(open_members.join(able, "set_id"))
-        across = able_pairs(written(rest, "rest"), link)
+        across = joining_links(able_partners(written(rest, "rest"), link), shingles, link)
         old = labels.select(F.col("root").alias("a"), F.col("node").alias("b"))
-        return components(check(written(across, "across")).unionByName(old))
+        return components(written(across, "across").unionByName(old))
 
 
-def able_pairs(members: DataFrame, link: int) -> DataFrame:
-    """(a, b), once each: pairs in a bucket whose components differ and whose shingles that occur elsewhere allow the link.
+def able_partners(members: DataFrame, link: int, tile: int = TILE, most: int = TILE_SHINGLES) -> DataFrame:
+    """(key, i, j, set_id, set_id_root, partners): by two blocks i and j of a bucket, its members that have to be compared, and with which others.
 
-    members: (key, set_id, set_id_root, n_shingles, total, elsewhere). A bucket's members are dealt to blocks of about TILE and every two blocks
-    meet in a task, which compares their counts as matrices, a few rows at a time; only pairs that pass leave it.
+    members: (key, set_id, set_id_root, n_shingles, total, elsewhere, registers). A pair is compared if its components differ and neither its shingles
+    that occur elsewhere nor its estimate rule the link out, in the first bucket that holds both. A bucket's members are dealt to blocks of
+    about ``tile`` members and ``most`` shingles, and every two blocks meet in a task, which compares their counts as matrices, a few rows at a
+    time. Partners are listed with one member of a pair; the other one may have an empty list.
     """
-    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    blocks = F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("total") / most)).cast("int").alias("blocks")
+    dealt = members.join(members.groupBy("key").agg(blocks), "key").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     tiles = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set_id", "set_id_root", "n_shingles", "total", "elsewhere"
+        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set_id", "set_id_root", "n_shingles", "total", "elsewhere", "registers"
     )
 
-    def compare(tile: pa.Table) -> pa.Table:
-        tile = tile.combine_chunks()
-        block, sets, root, size, total = (tile.column(c).to_numpy() for c in ("block", "set_id", "set_id_root", "n_shingles", "total"))
-        counts = tile.column("elsewhere").combine_chunks().flatten().to_numpy().reshape(-1, PROFILE).astype(np.int32)
-        i, j = tile.column("i")[0].as_py(), tile.column("j")[0].as_py()
+    def compare(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        block, root, size, total = (rows.column(c).to_numpy() for c in ("block", "set_id_root", "n_shingles", "total"))
+        counts = rows.column("elsewhere").combine_chunks().flatten().to_numpy().reshape(-1, PROFILE).astype(np.int32)
+        regs = _regs(rows.column("registers"))
+        keys, full = band_keys(regs)
+        key, i, j = (rows.column(c)[0].as_py() for c in ("key", "i", "j"))
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        found = [np.zeros((0, 2), np.int64)]
+        partners = [np.zeros(0, np.int64)] * rows.num_rows
+        wanted = np.zeros(rows.num_rows, bool)
         for at in range(0, left.size, 64):
             some = left[at : at + 64]
             needed = link * (size[some][:, None] + size[right][None, :])
@@ -314,11 +326,52 @@ def able_pairs(members: DataFrame, link: int) -> DataFrame:
             if may.any():
                 common = np.minimum(counts[some][:, None, :], counts[right][None, :, :]).sum(2)
                 x, y = np.nonzero(may & ((100 + link) * common >= needed))
-                found.append(np.sort(np.column_stack((sets[some[x]], sets[right[y]])), axis=1))
-        both = np.concatenate(found)
-        return pa.table({"a": both[:, 0], "b": both[:, 1]})
+                for part in range(0, x.size, 4096):
+                    a, b = some[x[part : part + 4096]], right[y[part : part + 4096]]
+                    first = np.where((keys[a] == keys[b]) & full[a], keys[a].view(np.int64), np.iinfo(np.int64).max).min(axis=1) == key
+                    a, b = a[first], b[first]
+                    near = _may_link(regs[a], regs[b], link)
+                    a, b = a[near], b[near]
+                    wanted[a] = wanted[b] = True
+                    edges = np.flatnonzero(np.diff(a, prepend=-1))
+                    for m, own in zip(a[edges].tolist(), np.split(b, edges[1:]) if a.size else []):
+                        partners[m] = np.concatenate((partners[m], own))
+        sets, keep = rows.column("set_id").to_numpy(), np.flatnonzero(wanted)
+        lists = pa.array([sets[partners[m]] for m in keep.tolist()], pa.list_(pa.int64()))
+        return rows.select(["key", "i", "j", "set_id", "set_id_root"]).take(pa.array(keep)).append_column("partners", lists)
+
+    return tiles.groupBy("key", "i", "j").applyInArrow(compare, "key bigint, i int, j int, set_id bigint, set_id_root bigint, partners array<bigint>")
+
+
+def joining_links(members: DataFrame, shingles: DataFrame, link: int) -> DataFrame:
+    """(a, b): confirmed links between components, enough of them to join all that the links of each task join.
+
+    members: see ``able_partners``. Components that earlier links of the task have joined are not compared again, so that a task sends on fewer
+    links than it has members.
+    """
 
-    return tiles.groupBy("key", "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
+    def confirm(rows: pa.Table) -> pa.Table:
+        ids, roots = rows.column("set_id").to_pylist(), rows.column("set_id_root").to_pylist()
+        hashes = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
+        place = {s: n for n, s in enumerate(ids)}
+        joined = {r: r for r in roots}
+
+        def top(r):
+            while joined[r] != r:
+                joined[r] = r = joined[joined[r]]
+            return r
+
+        found = []
+        for n, others in enumerate(rows.column("partners").to_pylist()):
+            for other in others:
+                m = place[other]
+                a, b = top(roots[n]), top(roots[m])
+                if a != b and linked(hashes[n], hashes[m], link):
+                    joined[a] = b
+                    found.append((min(ids[n], other), max(ids[n], other)))
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return members.join(shingles, "set_id").groupBy("key", "i", "j").applyInArrow(confirm, "a bigint, b bigint")
 
 
 def _several_roots(members: DataFrame) -> DataFrame:
