@@ -22,8 +22,10 @@ from millaudit.llm.common import written
 SIZE = 2048
 #: The id that ends each document.
 END_ID = 0
-#: Words, and parts of words, whose ids a Python worker remembers.
-REMEMBERED = 500_000
+#: Words, and parts of words, whose ids a Python worker remembers: about 40 MB, which it keeps for later tasks.
+REMEMBERED = 100_000
+#: Documents cut together.
+CHUNK = 500
 #: Most documents of an enumerated pattern, and most patterns fitted at once.
 PATTERN_DOCS = 3
 FITTED_PATTERNS = 40_000
@@ -101,17 +103,19 @@ def _pieces(path: str, size: int, with_ids: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(path)
-        for batch in batches:
-            rows: list[tuple] = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = words.text(text or "") + end
-                for piece, at in enumerate(range(0, len(ids), 4 * size)):
-                    part = ids[at : at + 4 * size]
-                    rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None))
-            columns = list(zip(*rows)) or [[]] * 6
-            kinds = [("doc_id", batch.schema.field("doc_id").type), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())]
-            kinds = kinds[: 6 if with_ids else 5]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, kinds)], names=[n for n, _ in kinds])
+        for whole in batches:
+            for first in range(0, whole.num_rows, CHUNK):
+                batch = whole.slice(first, CHUNK)
+                rows: list[tuple] = []
+                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                    ids = words.text(text or "") + end
+                    for piece, at in enumerate(range(0, len(ids), 4 * size)):
+                        part = ids[at : at + 4 * size]
+                        rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None))
+                columns = list(zip(*rows)) or [[]] * 6
+                kinds = [("doc_id", batch.schema.field("doc_id").type), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())]
+                kinds = kinds[: 6 if with_ids else 5]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, kinds)], names=[n for n, _ in kinds])
 
     return run
 

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
@@ -269,7 +270,7 @@ def feature_counts(rows: DataFrame, models: dict[str, tuple[View, View]], bins:
             for t in range(len(TARGETS)):
                 label = which // 3**t % 3  # 0 and 1 are labels, 2 is none
                 columns += [np.bincount(place, label < 2, features.size).astype(np.int64), np.bincount(place, label == 1, features.size).astype(np.int64)]
-            arrays = [pa.array(np.full(features.size, v)), pa.array(features), *map(pa.array, columns)]
+            arrays = [pa.array(np.full(features.size, v)), pa.array(features.astype(np.int64)), *map(pa.array, columns)]
             yield from pa.Table.from_arrays(arrays, names=["view", "feature", "n0", "good0", "n1", "good1"]).to_batches(max_chunksize=50_000)
 
         for known, held, views in _chunks(batches):
@@ -282,7 +283,7 @@ def feature_counts(rows: DataFrame, models: dict[str, tuple[View, View]], bins:
                     which += 3**t * np.where(np.isnan(known[t]), taught, np.where(held, 2, known[t] > 0))
                 own = views[v].take(np.flatnonzero(which < 8))
                 if own.ids.size:
-                    kept[v].append((own.ids, which[which < 8][own.rows()]))
+                    kept[v].append((own.ids.astype(np.uint32), which[which < 8].astype(np.int8)[own.rows()]))
                     size[v] += own.ids.size
                 if size[v] >= COUNTED:
                     yield from flush(v)
@@ -328,12 +329,16 @@ def co_trained(rows: DataFrame, labelled: tuple[Sample, Sample], ys: dict[str, n
 
 
 def _views(batch: pa.RecordBatch, features: Features) -> tuple[list, list]:
-    columns = [batch.column(c).to_pylist() for c in ("text", "lang", "source", "n_chars")]
+    inside = batch.column("document") if "document" in batch.schema.names else None
+    columns = [(batch.column(c) if c in batch.schema.names else pc.struct_field(inside, c)).to_pylist() for c in ("text", "lang", "source", "n_chars")]
     return [features.content(t) for t in columns[0]], [features.metadata(*row) for row in zip(*columns)]
 
 
 def feature_rows(rows: DataFrame, carried: list[str]) -> DataFrame:
-    """(doc_id, quality, toxic, held, document, content, metadata) of documents, written once for all rounds and for the scores; document holds the carried columns."""
+    """(doc_id, quality, toxic, held, document, content, metadata) of documents, written once for all rounds and for the scores; document holds the carried columns.
+
+    A carried text is read from there, so that it goes to Python once.
+    """
 
     kept = ["doc_id", *TARGETS, "held", "document"]
 
@@ -347,7 +352,9 @@ def feature_rows(rows: DataFrame, carried: list[str]) -> DataFrame:
 
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLD == FOLD - 1
     document = F.struct(*[F.col("document")[c].alias(c) for c in carried]).alias("document")
-    read = [F.col("document")[c].cast(kind).alias(c) for c, kind in (("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "bigint"))]
+    given = rows.schema["document"].dataType
+    kinds = [(c, kind) for c, kind in (("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "bigint")) if c not in carried or given[c].dataType.simpleString() != kind]
+    read = [F.col("document")[c].cast(kind).alias(c) for c, kind in kinds]
     picked = rows.select("doc_id", *read, *[F.col(t).cast("double") for t in TARGETS], F.coalesce(held, F.lit(False)).alias("held"), document)
     views = StructType().add("content", "binary").add("metadata", "binary")
     schema = StructType([picked.schema[c] for c in kept] + list(views.fields))
