@@ -54,9 +54,10 @@ def test_unmatched_rules_over_several_words_of_bits(spark, book):
     got = sorted(
         ((-1 if r.report_id is None else r.report_id, r.category, r["name"], r.kind) for r in matching.unmatched_rules(spark.createDataFrame(asked, "report_id long, category string"), rules, found).collect())
     )
-    named = {}
-    for r, _, item, _, _ in given:
-        named.setdefault(r, set()).add(item)
+    ruled, named = {(k, name) for k, name, *_ in book[3]}, {}
+    for r, c, item, _, _ in given:
+        if (c, item) in ruled:
+            named.setdefault(r, set()).add(item)
     want = sorted(
         (-1 if r is None else r, c, name, "conditional" if condition else "missing")
         for r, c in asked for k, name, _, condition, *_ in book[3] if k == c and name not in named.get(r, ())
